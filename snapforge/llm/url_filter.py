@@ -33,7 +33,7 @@ BLOCKED = (
 ALLOWED = (
     "news today", "daily news", "science journal", "university research", "public library", "city council", "health clinic", "weather report",
     "garden shop", "book store", "music school", "travel guide", "recipes kitchen", "open source code", "python docs", "history museum", "art gallery",
-    "sports club", "football results", "free software", "free encyclopedia", "online course", "online shop", "live weather", "photo album", "family blog",
+    "sports club", "football results", "free software", "free encyclopedia", "online course", "online shop", "live weather", "photo album", "family photos",
     "technology review", "government service", "local business", "farm market", "race track results", "bank account", "win", "cash flow", "login page",
 )
 #: Share of the classes before any word is seen.
