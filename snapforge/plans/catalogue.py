@@ -1,4 +1,15 @@
-"""All queries of the engine's own operators, with their DuckDB equivalents."""
+"""All queries of the engine's own operators, with their DuckDB equivalents, by operator and name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from functools import partial
+
+from .dialect import run, to_duckdb
+from .frame_queries import FRAMES
+from .sql_queries import DUCKDB, SQL
+
+
+def _sql(text, spark, sf_dir):
+    return run(spark, sf_dir, text)
+
+
+QUERIES: dict = {name: partial(_sql, text) for name, text in SQL.items()} | {name: f for name, (f, _) in FRAMES.items()}
+ORACLES: dict = {name: to_duckdb(DUCKDB.get(name, text)) for name, text in SQL.items()} | {name: sql for name, (_, sql) in FRAMES.items() if sql}
