@@ -29,7 +29,7 @@ def _meta(spark: SparkSession, d: str) -> DataFrame:
 def price_features(spark: SparkSession, d: str) -> DataFrame:
     out = gold.price_features(_prices(spark, d))
     names = ["lag_1", "lag_7", "change_1d", "pct_change_1d", "all_time_high", "all_time_low", "days_with_price", "days_since_price", "price_rank", "is_price_spike"]
-    return out.select("uuid", "snapshot_date", "eur", *names, *[F.round(c, 6).alias(c) for c in ("avg_7d", "avg_30d", "std_30d")])
+    return out.select("uuid", "snapshot_date", "eur", *names, *[F.round(c, 9).alias(c) for c in ("avg_7d", "avg_30d", "std_30d")])
 
 
 PRICE_FEATURES = f"""WITH {PRICES}, l AS (SELECT *, lag(eur, 1) OVER w AS lag_1, lag(eur, 7) OVER w AS lag_7,
@@ -38,7 +38,7 @@ PRICE_FEATURES = f"""WITH {PRICES}, l AS (SELECT *, lag(eur, 1) OVER w AS lag_1,
   FROM prices WINDOW w AS (PARTITION BY uuid ORDER BY snapshot_date), w7 AS (PARTITION BY uuid ORDER BY snapshot_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
   w30 AS (PARTITION BY uuid ORDER BY snapshot_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), wh AS (PARTITION BY uuid ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT uuid, snapshot_date, eur, lag_1, lag_7, eur - lag_1 AS change_1d, (eur - lag_1) / NULLIF(lag_1, 0) AS pct_change_1d, all_time_high, all_time_low, days_with_price,
-  date_diff('day', seen, snapshot_date) AS days_since_price, price_rank, ABS((eur - lag_1) / NULLIF(lag_1, 0)) > 3.0 AS is_price_spike, ROUND(a7, 6) AS avg_7d, ROUND(a30, 6) AS avg_30d, ROUND(s30, 6) AS std_30d FROM l"""
+  date_diff('day', seen, snapshot_date) AS days_since_price, price_rank, ABS((eur - lag_1) / NULLIF(lag_1, 0)) > 3.0 AS is_price_spike, ROUND(a7, 9) AS avg_7d, ROUND(a30, 9) AS avg_30d, ROUND(s30, 9) AS std_30d FROM l"""
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
