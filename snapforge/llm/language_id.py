@@ -235,9 +235,10 @@ def predict(docs: DataFrame, models: Models, *, text_col: str = "text") -> DataF
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):
                 texts = part.column(text_col).to_pylist()
-                e, n, letters = models.entropies(texts)
-                if not models.languages:
-                    e, letters = np.zeros((len(texts), 1)), np.zeros(len(texts))
+                if models.languages:
+                    e, n, letters = models.entropies(texts)
+                else:
+                    e, n, letters = np.zeros((len(texts), 1)), np.ones(len(texts)), np.zeros(len(texts))
                 best = e.argmin(axis=1)
                 power = np.minimum(n, 32)[:, None]
                 likely = np.exp(-(e - e.min(axis=1, keepdims=True)) * power)

@@ -114,7 +114,7 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     for m in range(REFILLS + 1):
         taken = taken | ((F.col("size") <= F.col(f"budget{m}")) & (F.col("place") < F.col(f"threshold{m}")))
     joined = sized.join(state, F.col("source").eqNullSafe(F.col("of")))
-    return joined.select("doc_id", "place", "size", "source", "source_size", "target", (F.col("whole") + taken.cast("long")).alias("repeats"))
+    return joined.select("doc_id", "place", "size", "source", "source_size", "target", F.least(F.col("whole") + taken.cast("long"), F.lit(MOST).cast("long")).alias("repeats"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
