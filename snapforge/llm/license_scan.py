@@ -75,6 +75,7 @@ class Templates:
         for key, t, place in index:
             self.postings.setdefault(key, []).append((t, place))
         self.vocabulary = np.unique(hashes)
+        self.bands = [min(BAND, len(w) // 3) for w in self.words]  # less than the template, so that repeats side by side stay apart
 
     def candidates(self, words: np.ndarray, edges: np.ndarray) -> dict[tuple[int, int], list[int]]:
         """(row, template): the shifts, in words of all rows end to end, at which the template may stand."""
@@ -98,7 +99,7 @@ class Templates:
         for key, place, r in zip(g[hit].tolist(), places[hit].tolist(), row[hit].tolist()):
             for t, p in self.postings[key]:
                 shifts = out.setdefault((r, t), [])
-                if not shifts or place - p > shifts[-1] + BAND:
+                if not shifts or place - p > shifts[-1] + self.bands[t]:
                     shifts.append(place - p)
         return out
 
