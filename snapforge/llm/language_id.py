@@ -211,7 +211,8 @@ def sample(docs: DataFrame, *, per_language: int = SAMPLE) -> dict[str, list[str
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
     # in expectation a little more than per_language, cut at per_language; all where there are fewer
     share = F.least(F.lit(1.0), F.lit(per_language * 1.3) / F.col("__n"))
-    near = labelled.join(counts, "lang").where((F.shiftrightunsigned("__h", 11) / F.lit(float(1 << 53))) < share)
+    # one row a language, as in the models, so texts needn't move to be sampled
+    near = labelled.join(F.broadcast(counts), "lang").where((F.shiftrightunsigned("__h", 11) / F.lit(float(1 << 53))) < share)
     rows = near.select("lang", "text", "__h").orderBy("__h").toLocalIterator()
     out: dict[str, list[str]] = {}
     for r in rows:
