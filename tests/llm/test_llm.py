@@ -237,3 +237,23 @@ def test_pipeline(spark, docs, tmp_path):
     assert out and {r.doc_id for r in out} <= {r.doc_id for r in rows.collect()}
     kept = corpus_pipeline.deduplicate(spark, rows, str(tmp_path))
     assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == {c for _, c in brute_components([(r.doc_id, r.text) for r in rows.collect()]).values()}
+
+
+def test_sketches_keep_every_link():
+    import numpy as np
+
+    from snapforge.llm import jaccard_join as J
+
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 64, 65, 700):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (J._unpack(J._pack(x)) == x >> np.uint64(16) << np.uint64(16)).all()
+        for share in (0.6, 0.8, 0.9, 1.0):
+            y = np.unique(np.concatenate([x[: int(len(x) * share)], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+            a, b = J.sketch(x), J.sketch(y)
+            cells = min(len(a), len(b))
+            differ = int((J._fold(a, cells) != J._fold(b, cells)).sum())
+            assert differ <= len(np.setxor1d(x, y))
+            if J._links(x, y):
+                assert 7 * differ <= len(x) + len(y)
+    assert not J._links(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
