@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, RegexTokenizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -117,15 +121,79 @@ def tfidf(rows: DataFrame, key: str, text: str, terms: int = 500, least: int = 5
     return weighed.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
+#: Rows and queries of a block: a task holds the scores of one pair of blocks.
+ROW_BLOCK, QUERY_BLOCK = 8192, 256
+
+
+def _blocks(rows: DataFrame, key: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Rows of (keys, vectors end to end): at most `size` rows of a partition each."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def packed() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys, z = t.column(0).combine_chunks(), t.column(1).combine_chunks().flatten()
+            return pa.record_batch([pa.ListArray.from_arrays([0, len(keys)], keys), pa.ListArray.from_arrays([0, len(z)], z)], names=list(names))
+
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, size - n))
+                n += held[-1].num_rows
+                batch = batch.slice(held[-1].num_rows)
+                if n == size:
+                    yield packed()
+                    held, n = [], 0
+        if n:
+            yield packed()
+
+    return rows.select(key, "z").mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} array<double>")
+
+
+def _nearest(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each pair of blocks and each query the k rows of highest score; of equal scores those of least key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, z, asked, q = (c[i].values for c in batch.columns)
+                order = pc.array_sort_indices(keys)
+                keys = keys.take(order)
+                z = z.to_numpy(zero_copy_only=False).reshape(len(keys), -1)[order.to_numpy()]
+                q = q.to_numpy(zero_copy_only=False).reshape(len(asked), -1)
+                place = pc.index_in(asked, keys).to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0)
+                score = np.zeros((len(asked), len(keys)))
+                for c in range(z.shape[1]):  # summed in the columns' order, so that scores don't depend on the blocks
+                    score += q[:, c, None] * z[None, :, c]
+                for j in np.flatnonzero(~np.isnan(place.astype(float))):  # a query isn't its own neighbour
+                    first = int(place[j])
+                    while first < len(keys) and keys[first] == asked[int(j)]:
+                        score[j, first] = -np.inf
+                        first += 1
+                least = np.partition(score, len(keys) - k, axis=1)[:, len(keys) - k, None] if len(keys) > k else np.full((len(asked), 1), -np.inf)
+                a, b = np.nonzero((score >= least) & (score > -np.inf))
+                by = np.lexsort((b, -score[a, b], a))
+                a, b = a[by], b[by]
+                top = np.arange(len(a)) - np.searchsorted(a, a) < k
+                a, b = a[top], b[top]
+                yield pa.record_batch([asked.take(pa.array(a)), keys.take(pa.array(b)), pa.array(score[a, b])], names=["query", "key", "similarity_score"])
+
+    return run
+
+
 def similar(rows: DataFrame, key: str, columns: list[str], queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k most cosine-similar rows of each query row (few, in `queries`), by population z-scores; null counts as the mean."""
+    """The k most cosine-similar rows of each query row, by population z-scores; null counts as the mean. Exact: each block of rows
+    is compared with each block of queries, and only a block's k best of each query are written."""
     stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
     z = F.array(*[F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)) for c in columns])
-    scaled = rows.crossJoin(F.broadcast(stats)).select(F.col(key), z.alias("z"))  # one row of statistics
+    scaled = rows.where(F.col(key).isNotNull()).crossJoin(F.broadcast(stats)).select(F.col(key), z.alias("z"))  # one row of statistics
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scaled = scaled.withColumn("z", F.transform("z", lambda x: x / F.coalesce(F.nullif(F.sqrt(dot(F.col("z"), F.col("z"))), F.lit(0.0)), F.lit(1.0))))
-    asked = scaled.join(queries.select(key), key, "left_semi").select(F.col(key).alias("query"), F.col("z").alias("q"))
-    near = scaled.crossJoin(asked).where(F.col(key) != F.col("query")).select("query", F.col(key), dot(F.col("z"), F.col("q")).alias("similarity_score"))
+    asked = scaled.join(queries.select(key), key, "left_semi")
+    kind, tasks = rows.schema[key].dataType.simpleString(), rows.sparkSession.sparkContext.defaultParallelism
+    pairs = _blocks(scaled.repartition(tasks), key, ROW_BLOCK, ("k", "z")).crossJoin(_blocks(asked.repartition(tasks), key, QUERY_BLOCK, ("asked", "q")))
+    near = pairs.mapInArrow(_nearest(k), f"query {kind}, key {kind}, similarity_score double").withColumnRenamed("key", key)
     nth = F.row_number().over(W.Window.partitionBy("query").orderBy(F.desc("similarity_score"), key))
     return near.withColumn("rank", nth).where(F.col("rank") <= k)
 

@@ -102,7 +102,7 @@ MAPE = to_duckdb(f"WITH {PREDICTED} SELECT snapshot_date, ROUND(AVG(ABS(predicte
 
 def similar(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"))
-    out = ml.similar(rows, "p_partkey", ["s", "r"], rows.where("p_partkey % 100 = 0"), 5)
+    out = ml.similar(rows, "p_partkey", ["s", "r"], rows.where("p_partkey % 20 = 0"))
     return out.select("query", "p_partkey", F.col("rank").cast("int").alias("rank"), F.round("similarity_score", 6).alias("similarity_score"))
 
 

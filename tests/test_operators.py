@@ -159,3 +159,31 @@ def test_streaming_changes(spark, tmp_path):
     q = twin.changes(stream, "k", "s").writeStream.format("memory").queryName("changes").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r)[:3] for r in spark.table("changes").collect()] == [("a", "legal", "banned")]
+
+
+def test_similar_is_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from snapforge.plans.frame_queries import FRAMES
+
+    monkeypatch.setattr(ml, "ROW_BLOCK", 7)
+    monkeypatch.setattr(ml, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(3)
+    values = [(int(i), None if i % 11 == 0 else float(rng.integers(0, 4)), float(rng.integers(0, 5)), 2.0) for i in range(60)]
+    rows = spark.createDataFrame(values, "id long, a double, b double, c double")
+    x = np.array([[np.nan if v is None else v for v in r[1:]] for r in values])
+    s = np.nanstd(x, axis=0)
+    z = np.nan_to_num((x - np.nanmean(x, axis=0)) / np.where(s > 0, s, np.nan))
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    got = {}
+    for r in ml.similar(rows, "id", ["a", "b", "c"], rows.where("id % 4 = 0")).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r["id"], r["similarity_score"])
+    assert set(got) == set(range(0, 60, 4))
+    for q, found in got.items():
+        near = {i: float(z[i] @ z[q]) for i in range(60) if i != q}
+        assert sorted(found) == list(range(1, 11)) and q not in {i for i, _ in found.values()}
+        assert [v for _, (_, v) in sorted(found.items())] == pytest.approx(sorted(near.values(), reverse=True)[:10])
+        assert all(v == pytest.approx(near[i]) for i, v in found.values())
+    asked = FRAMES["so07_similar"][0](spark, "/root/testdata/sf0.001").groupBy("query").count().collect()
+    ids = {r.p_partkey for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    assert {r["query"]: r["count"] for r in asked} == {i: 10 for i in ids if i % 20 == 0}
