@@ -1,8 +1,9 @@
 """URL filters: rules by host and path, and for the rest a classifier over segmented words.
 
 Host labels and path parts are cut at what is not a letter; each run of letters is segmented by Viterbi under a unigram model, and
-a multinomial naive Bayes model scores the words. The unigram model's words are a fixed lexicon; their counts are prior counts plus
-the counts of the words that stand alone in all the URLs judged. Unknown runs get a probability that falls with their length, so
+a multinomial naive Bayes model scores the words. The unigram model's words are those of the corpus' texts, with their counts, over a
+general list of English words (the tokenizer's, by rank) and their plurals; words that stand alone in the URLs judged count too, but
+a URL alone makes no word, as then every run would be one. Unknown runs get a probability that falls with their length, so
 they stay whole. The classifier is trained on the labelled examples below; words that it never saw say nothing.
 
 Null URLs and those without `://` have an empty host and path, match no rule and are allowed. Repeated URLs are judged alike, each
@@ -11,6 +12,7 @@ row for itself. An empty table gives no rows. Extra columns aren't read.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -22,20 +24,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .token_counts import tokenizer_path
 
 #: Labelled examples, words apart: what each class is trained on.
 BLOCKED = (
-    "casino win", "online casino bonus", "casino slots jackpot", "poker casino", "free bets", "best bets", "free bets bonus", "sports bets odds", "betting tips", "bet win cash",
-    "cheap pills", "pills pharmacy online", "viagra cheap", "cialis pills discount", "adult x", "adult videos", "xxx adult", "porn tube", "sex cams",
-    "nude cams live", "escort girls", "spam farm", "link farm spam", "seo spam links", "ads track", "ads click track", "ad server banner", "popup ads",
-    "tracker pixel ads", "malware download", "phishing login", "warez crack keygen", "torrent crack", "replica watches cheap", "payday loans fast",
+    "online casino bonus", "casino slots jackpot", "poker casino", "casino roulette", "best bets", "sports bets odds", "betting tips", "betting odds", "bet cash", "gambling slots",
+    "online gambling", "gambling bonus", "lottery jackpot", "lottery numbers", "win lottery", "bingo jackpot", "viagra pills", "viagra online", "cialis pills discount", "pills pharmacy online",
+    "diet pills", "weight loss pills", "weight loss miracle", "lose weight fast", "miracle cure", "steroids online", "adult videos", "adult cams", "xxx videos", "xxx adult", "porn tube", "porn videos",
+    "sex cams", "sex videos", "nude cams live", "nude girls", "escort girls", "spam links", "link spam", "seo spam", "spam mail", "buy followers", "ads click", "ads network", "ads banner", "popup ads",
+    "casino games", "live casino", "mobile casino", "casino royal", "vegas casino", "free spins casino", "free slots", "free spins", "free porn", "free sex videos", "free cams", "free viagra",
+    "casino gambling", "gambling games", "sports gambling", "gambling affiliate", "lottery winner", "lottery tickets", "mega lottery", "lottery results online", "football bets", "live bets", "sure bets", "bets today",
+    "weight loss", "rapid weight loss", "weight loss diet", "weight loss tea", "keto weight loss", "cheap cialis", "cheap replica", "cheap steroids", "buy viagra", "viagra pharmacy", "buy pills", "sleeping pills online",
+    "ads server", "ads tracking", "ads popunder", "banner ads", "ads media", "spam bot", "spam blast", "email spam", "spam host", "adult dating", "adult chat", "adult movies", "adult toys", "adult tube", "xxx porn", "hot porn",
+    "tracker pixel", "click tracker", "malware download", "virus download", "phishing login", "warez crack keygen", "torrent crack", "serial keygen", "replica watches cheap", "cheap viagra", "payday loans fast", "loans cash", "earn cash fast",
 )
 ALLOWED = (
-    "news today", "daily news", "science journal", "university research", "public library", "city council", "health clinic", "weather report",
-    "garden shop", "book store", "music school", "travel guide", "recipes kitchen", "open source code", "python docs", "history museum", "art gallery",
-    "sports club", "football results", "free software", "free encyclopedia", "online course", "online shop", "live weather", "photo album", "family photos",
-    "technology review", "government service", "local business", "farm market", "race track results", "bank account", "win", "cash flow", "login page",
+    "news today", "daily news", "science journal", "university research", "public library", "city council", "health clinic", "weather report", "garden shop", "book store", "music school",
+    "travel guide", "recipes kitchen", "open source code", "python docs", "history museum", "art gallery", "sports club", "football results", "free software", "free encyclopedia", "online course",
+    "online shop", "live weather", "photo album", "family photos", "technology review", "government service", "local business", "farm market", "family farm", "race track results", "bank account",
+    "cash flow", "login page", "adult education", "adult learning", "education online", "higher education", "hair loss clinic", "birth weight", "cheap flights", "cheap hotels", "home loans", "student loans",
+    "girls school", "boys school", "video tutorial", "music videos", "mail server", "download docs", "links page", "followers", "watches shop", "fast food", "pharmacy school", "cure research", "lost and found",
 )
+#: Letters of the longest word that is looked for in a run. What the general list counts in all is about 11 times GENERAL.
+LONGEST, GENERAL = 24, 1_000_000
 #: Share of the classes before any word is seen.
 PRIOR_BLOCKED = 0.25
 #: (rule, verdict): a host and a path; a rule holds for the host and its subdomains where the path starts with the rule's.
@@ -58,19 +69,33 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+@lru_cache(1)
+def general_words() -> dict[str, int]:
+    """Counts by Zipf's law of the tokenizer's words, of 3 letters on, and of their plurals at a tenth."""
+    with open(tokenizer_path("byte_bpe_50k.json")) as f:
+        ranks = json.load(f)["model"]["vocab"]
+    out: dict[str, int] = {}
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        if re.fullmatch("\u0120[A-Za-z]{3,}", token):
+            out.setdefault(token[1:].lower(), GENERAL // (rank + 1) + 1)
+    return {f"{w}s": n // 10 + 1 for w, n in out.items() if len(w) > 3} | out
+
+
 class Words:
-    """The unigram model and the classifier."""
+    """The unigram model and the classifier. seen: counts of words of the corpus."""
 
     def __init__(self, seen: dict[str, int] | None = None, blocked=BLOCKED, allowed=ALLOWED) -> None:
         bad, good = (Counter(w for x in part for w in x.split()) for part in (blocked, allowed))
         prior = bad + good
-        self.counts = {w: n * 100 + (seen or {}).get(w, 0) for w, n in prior.items()}
+        self.counts = dict(general_words())
+        for w, n in [*((w, n * 100) for w, n in prior.items()), *(seen or {}).items()]:
+            self.counts[w] = self.counts.get(w, 0) + n
         self.total = sum(self.counts.values())
         vocabulary = len(prior)
         n_bad, n_good = sum(bad.values()), sum(good.values())
         self.odds = {w: math.log((bad[w] + 1) / (n_bad + vocabulary)) - math.log((good[w] + 1) / (n_good + vocabulary)) for w in prior}
         self.start = math.log(PRIOR_BLOCKED / (1 - PRIOR_BLOCKED))
-        self.longest = max(map(len, self.counts))
+        self.longest = LONGEST
         self.segment = lru_cache(100_000)(self._segment)
 
     def _cost(self, word: str) -> float:
@@ -101,25 +126,34 @@ class Words:
 
     def words(self, host: str, path: str) -> list[str]:
         runs = re.findall(r"[^\W\d_]+", f"{host} {path.lower()}")
-        return [w for r in runs for w in ([r] if r in self.counts else self.segment(r))]
+        return [w for r in runs for w in self.segment(r)]
 
     def score(self, host: str, path: str) -> float:
         """Log odds of block against allow."""
         return self.start + sum(self.odds.get(w, 0.0) for w in self.words(host, path))
 
 
-def lexicon_counts(urls: DataFrame, lexicon: list[str]) -> dict[str, int]:
-    """How often each word of the lexicon stands alone in hosts and paths: one row a word at most."""
-    runs = urls.select(F.explode(F.split(F.lower(F.concat_ws("/", "host", "path")), r"[^\p{L}]+")).alias("w"))
-    return {r["w"]: r["n"] for r in runs.where(F.col("w").isin(lexicon)).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+def lexicon_counts(urls: DataFrame, texts: DataFrame | None) -> dict[str, int]:
+    """How often the words that occur in some run of the URLs stand alone in texts (one column) and URLs. All words of the texts are
+    counted; those found inside no run of a URL can't change a segmentation and aren't collected."""
+    spark = urls.sparkSession
+    letters = lambda c: F.explode(F.split(F.lower(c), r"[^\p{L}]+")).alias("w")
+    runs = urls.select(letters(F.concat_ws("/", "host", "path"))).where(F.length("w") > 2).groupBy("w").agg(F.count(F.lit(1)).alias("alone"))
+    at = runs.select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 2)).alias("i"))
+    inside = at.select(F.explode(F.expr(f"transform(sequence(3, least({LONGEST}, length(w) - i + 1)), n -> substring(w, i, n))")).alias("w")).distinct()
+    words = spark.createDataFrame([(w, 0) for w in sorted({*general_words(), *(w for x in BLOCKED + ALLOWED for w in x.split())})], "w string, n int")
+    if texts is not None:
+        words = words.unionAll(texts.select(letters(F.col(texts.columns[0]))).select("w", F.lit(1).alias("n")))
+    counts = words.where(F.length("w").between(3, LONGEST)).groupBy("w").agg(F.sum("n").alias("n")).join(inside, "w", "left_semi").join(runs, "w", "left")
+    return {r["w"]: r["n"] for r in counts.select("w", (F.col("n") + F.coalesce("alone", F.lit(0))).alias("n")).where("n > 0").collect()}
 
 
-def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) of every row."""
+def judge(pages: DataFrame, texts: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) of every row; texts: the corpus, one column."""
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    seen = lexicon_counts(urls, sorted(Words().counts))
+    seen = lexicon_counts(urls, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Words(seen)
@@ -134,4 +168,4 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url") ->
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("text"))

@@ -209,6 +209,20 @@ def test_url_filter(spark):
     assert url_filter.Words().segment("cheappills") == ("cheap", "pills") and url_filter.Words().segment("qqqqzz") == ("qqqqzz",)
 
 
+def test_url_filter_words_of_the_corpus(spark):
+    model = url_filter.Words()
+    phrases = {"-".join(x.split()) for x in url_filter.BLOCKED + url_filter.ALLOWED}
+    assert not phrases & {"casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"}
+    assert model.segment("uploads") == ("uploads",) and model.segment("alphabets") == ("alphabets",) and model.segment("adulteducation") == ("adult", "education")
+    clean, bad = ["uploads", "alphabets", "pillsbury", "adulteducation"], ["gambling", "lottery", "weightloss", "viagraonline"]
+    pages = spark.createDataFrame([(i, f"http://{w}.example.org/a") for i, w in enumerate(clean + bad)], "page_id long, url string")
+    texts = spark.createDataFrame([("The Pillsbury mill, by Pillsbury.",), (None,), ("",)], "text string")
+    seen = url_filter.lexicon_counts(pages.select(*[c.alias(n) for c, n in zip(url_filter.host_and_path(F.col("url")), ("host", "path"))]), texts)
+    assert seen["pillsbury"] == 3 and "mill" not in seen and "weightloss" not in seen
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, texts).collect()}
+    assert [got[i] for i in range(8)] == ["allow"] * 4 + ["block"] * 4
+
+
 def test_preference(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", None), (None, 0, "user", "x")]
     rows = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, pair_id string")
