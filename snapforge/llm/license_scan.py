@@ -1,10 +1,11 @@
-"""License scans: winnowed fingerprints of templates find candidates, banded alignment reports what matches where.
+"""License scans: counts of template words in windows find candidates, banded alignment reports what matches where.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z lowered. Each template's hashes of GRAM successive words are winnowed
-(the least of every WINDOW) into an inverted index from fingerprint to template and place. All such hashes of a text are looked up;
-each hit proposes a template at a shift, shifts within the band are one candidate, and the template is aligned with the words there,
-with at most BAND words inserted or left out. Coverage is the share of the template's words that match, and the span is in words of
-the text. Matches of at least `least` coverage are reported; of overlapping ones that with more matched words.
+Words are runs of letters, digits and non-ASCII characters, A-Z lowered. A template may stand at each place of a text, and is aligned
+with the words there, with at most BAND words inserted or left out. Coverage is the share of the template's words that match, and the
+span is in words of the text. An alignment reads a window of the template's length and BAND words on both sides; a window with fewer
+words of the template than `least` asks for can't reach it, so only the others, found by running counts, are aligned: none is lost,
+and equal windows are aligned once. Matches of at least `least` coverage are reported; of overlapping ones that with more matched
+words, and of those the shorter.
 
 Null, empty and word-less texts match nothing; each row gives one row. Texts are scanned whole. Copies are scanned each for itself.
 An empty table gives no rows. Extra columns aren't read.
@@ -12,6 +13,8 @@ An empty table gives no rows. Extra columns aren't read.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, mix, slices, table, text_bytes, word_hashes, word_spans
+from .common import LOWER, NOT_ALNUM, slices, table, text_bytes, word_hashes, word_spans
 
-GRAM, WINDOW, BAND = 3, 3, 4
+#: Words inserted or left out; alignments of windows that are kept for equal ones.
+BAND, KEPT = 4, 100_000
 #: Notices by which licenses are named in documents: fixed texts.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
@@ -46,88 +50,76 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), words
 
 
-def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
-    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
-    for i in range(n):
-        out = mix(out * np.uint64(31) + words[i : len(words) - n + 1 + i])
-    return out
-
-
-def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
-    """The places of the least hash of each window, the last of equals; all windows are in one if there are fewer hashes."""
-    picked = set()
-    for at in range(max(1, len(hashes) - window + 1)):
-        part = hashes[at : at + window]
-        if len(part):
-            picked.add(at + len(part) - 1 - int(part[::-1].argmin()))
-    return sorted(picked)
-
-
 class Templates:
     def __init__(self, templates: dict[str, str] = TEMPLATES) -> None:
         self.names = sorted(templates)
         hashes, edges = words_of(pa.array([templates[n] for n in self.names]))
         self.words = [hashes[a:b] for a, b in zip(edges, edges[1:])]
-        index = [(int(g[p]), t, p) for t, w in enumerate(self.words) for g in [grams(w, min(GRAM, len(w)))] for p in winnow(g)]
-        index.sort()
-        self.keys = np.unique(np.array([x[0] for x in index], np.uint64))
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for key, t, place in index:
-            self.postings.setdefault(key, []).append((t, place))
         self.vocabulary = np.unique(hashes)
-        self.bands = [min(BAND, len(w) // 3) for w in self.words]  # less than the template, so that repeats side by side stay apart
-
-    def candidates(self, words: np.ndarray, edges: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """(row, template): the shifts, in words of all rows end to end, at which the template may stand."""
+        #: Of each template and word of the vocabulary, from 1 on: a number from 1 on, or 0 for a word that it hasn't.
+        self.codes = []
+        for w in self.words:
+            code = np.zeros(len(self.vocabulary) + 1, np.int32)
+            own = np.unique(w)
+            code[np.searchsorted(self.vocabulary, own) + 1] = np.arange(1, len(own) + 1)
+            self.codes.append(code)
+        self.own = [code[np.searchsorted(self.vocabulary, w) + 1] for code, w in zip(self.codes, self.words)]
+        self.gap = max(map(len, self.words), default=0) + 2 * BAND
+        self.aligned: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+
+    def found(self, words: np.ndarray, edges: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, template, matched words, first word, word after the last) of the alignments at all places that reach `least`."""
+        if not len(words) or not len(self.vocabulary):
+            return
         at = np.searchsorted(self.vocabulary, words)
         at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == words
-        run = known[: len(words) - GRAM + 1].copy() if len(words) >= GRAM else np.zeros(0, bool)
-        for i in range(1, GRAM):
-            run &= known[i : len(words) - GRAM + 1 + i]
-        places = np.flatnonzero(run)
-        row = np.searchsorted(edges, places, side="right") - 1
-        inside = places + GRAM <= edges[row + 1] if len(places) else np.zeros(0, bool)
-        places, row = places[inside], row[inside]
-        if not len(places):
-            return {}
-        g = np.zeros(len(places), np.uint64)
-        for i in range(GRAM):
-            g = mix(g * np.uint64(31) + words[places + i])
-        hit = np.isin(g, self.keys)
-        out: dict[tuple[int, int], list[int]] = {}
-        for key, place, r in zip(g[hit].tolist(), places[hit].tolist(), row[hit].tolist()):
-            for t, p in self.postings[key]:
-                shifts = out.setdefault((r, t), [])
-                if not shifts or place - p > shifts[-1] + self.bands[t]:
-                    shifts.append(place - p)
-        return out
-
-    def align(self, template: int, words: np.ndarray, shift: int) -> tuple[int, int, int]:
-        """The most template words matched in order within the band about the shift, and the span of the matched words."""
-        own = self.words[template]
-        if 0 <= shift and shift + len(own) <= len(words) and (words[shift : shift + len(own)] == own).all():
-            return len(own), shift, shift + len(own)
-        low = max(0, shift - BAND)
-        part = words[low : max(low, shift + len(own) + BAND)]
-        same = part[None, :] == own[:, None]
+        lengths = np.diff(edges)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        ids = np.zeros(len(words) + self.gap * (len(lengths) + 1), np.int32)  # rows stand apart, so that no window holds words of two
+        ids[np.arange(len(words)) + (row + 1) * self.gap] = np.where(self.vocabulary[at] == words, at + 1, 0)
+        starts = np.asarray(edges[:-1]) + (np.arange(len(lengths)) + 1) * self.gap
+        for t, (code, own) in enumerate(zip(self.codes, self.own)):
+            need, width = max(1, math.ceil(least * len(own))), len(own) + 2 * BAND
+            coded = code[ids]
+            count = np.concatenate([[0], np.cumsum(coded > 0, dtype=np.int32)])
+            for low in np.flatnonzero(count[width:] - count[:-width] >= need).tolist():
+                n, a, b = self.align(t, coded[low : low + width])
+                if n >= need:
+                    r = int(np.searchsorted(starts, low + a, side="right")) - 1
+                    yield r, t, n, int(low + a - starts[r]), int(low + b - starts[r])
+
+    def align(self, template: int, part: np.ndarray) -> tuple[int, int, int]:
+        """Of a window, kept for equal ones."""
+        key = (template, part.tobytes())
+        got = self.aligned.get(key)
+        if got is None:
+            if len(self.aligned) >= KEPT:
+                self.aligned.clear()
+            got = self.aligned[key] = self._align(self.own[template], part)
+        return got
+
+    @staticmethod
+    def _align(own: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
+        """The most template words matched in order within the band about the window's middle, and the span of the matched words."""
+        if (part[BAND : BAND + len(own)] == own).all():
+            return len(own), BAND, BAND + len(own)
+        same = (part[None, :] == own[:, None]).tolist()
         width = 2 * BAND + 1
-        # best[k]: matches, first and last matched place, ending before text place i + shift - low - BAND + k
+        # best[k]: matches, first and last matched place, ending before window place i + k
         best: list[tuple[int, int, int]] = [(0, -1, -1)] * (width + 1)
         for i in range(len(own)):
             new: list[tuple[int, int, int]] = []
             for k in range(width + 1):
-                j = i + shift - low - BAND + k  # text words before j are used
+                j = i + k  # window words before j are used
                 option = best[k + 1] if k < width else best[k]  # this template word is left out
                 if k and new[k - 1][0] >= option[0]:
                     option = new[k - 1]
-                if 0 < j + 1 <= len(part) and k < width + 1 and 0 <= j < len(part) and same[i, j] and best[k][0] + 1 > option[0]:
+                if j < len(part) and same[i][j] and best[k][0] + 1 > option[0]:
                     n, first, _ = best[k]
                     option = (n + 1, j if first < 0 else first, j + 1)
                 new.append(option)
             best = new
-        n, first, last = max(best, key=lambda x: x[0])
-        return n, low + first, low + last
+        return max(best, key=lambda x: x[0])
 
 
 def scan(docs: DataFrame, *, least: float = 0.75, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,20 +134,17 @@ def scan(docs: DataFrame, *, least: float = 0.75, templates: dict[str, str] = TE
         for batch in batches:
             for part in slices(batch, "text"):
                 words, edges = words_of(part.column("text"))
-                found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                for (r, t), shifts in known.candidates(words, edges).items():
-                    text = words[edges[r] : edges[r + 1]]
-                    for shift in shifts:
-                        n, a, b = known.align(t, text, shift - int(edges[r]))
-                        if n >= least * len(known.words[t]):
-                            found[r].append({"name": known.names[t], "start": a, "end": b, "coverage": n / len(known.words[t]), "n": n})
+                found: list[set[tuple[int, int, int, int]]] = [set() for _ in range(part.num_rows)]
+                for r, t, n, a, b in known.found(words, edges, least):
+                    found[r].add((t, n, a, b))
                 spans = []
                 for own in found:
-                    kept: list[dict] = []
-                    for m in sorted(own, key=lambda m: (-m["n"], -m["coverage"], m["start"], m["name"])):
-                        if all(m["end"] <= o["start"] or m["start"] >= o["end"] for o in kept):
-                            kept.append(m)
-                    spans.append([{k: m[k] for k in ("name", "start", "end", "coverage")} for m in sorted(kept, key=lambda m: m["start"])])
+                    kept: list[tuple[int, int, int, int]] = []  # by first word; they don't overlap
+                    for t, n, a, b in sorted(own, key=lambda m: (-m[1], -m[1] / len(known.words[m[0]]), m[3] - m[2], m[2], m[0])):
+                        at = bisect_left(kept, (b,))
+                        if not at or kept[at - 1][1] <= a:
+                            insort(kept, (a, b, t, n))
+                    spans.append([{"name": known.names[t], "start": a, "end": b, "coverage": n / len(known.words[t])} for a, b, t, n in kept])
                 yield pa.record_batch(
                     [part.column("doc_id"), pa.array([len(x) for x in spans], pa.int64()), pa.array([",".join(sorted({m["name"] for m in x})) for x in spans]), pa.array([max((m["coverage"] for m in x), default=0.0) for x in spans], pa.float64()), pa.array(spans, span)],
                     names=names,

@@ -242,6 +242,34 @@ def test_license_scan(spark):
     assert all(got[i].n_matches == 0 for i in (3, 4, 5)) and got[6].n_matches == 3 and got[7].licenses == "mit"
 
 
+def test_license_scan_finds_every_alignment(spark):
+    T = license_scan.Templates()
+    short = {n: t for n, t in zip(T.names, T.words) if len(t) > 3}
+    rows = [("Released under MIT License", "mit")]
+    for name in short:
+        own = "".join(c if c.isalnum() else " " for c in license_scan.TEMPLATES[name]).split()
+        for i in range(len(own)):
+            rows += [(" ".join(own[:i] + x + own[i + 1 :]), name) for x in ([], ["qq"], [own[i], "qq"])]
+    docs = spark.createDataFrame([(i, f"zz {t} zz") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    # some edits make an equal or better match of another notice, which takes the place
+    assert [t for i, (t, n) in enumerate(rows) if not got[i].n_matches or n.split("-")[0] not in got[i].licenses and got[i].coverage < 1] == []
+    r = random.Random(2)
+    for _ in range(60):
+        t = r.randrange(len(T.words))
+        text = [w for x in T.words[t] for w in r.choice([[x], [x], [x], [], [x, np.uint64(1)], [np.uint64(1)]])]
+        text = np.array([np.uint64(1)] * r.randint(0, 3) + text, np.uint64)
+        every, pad = set(), np.zeros(60, np.int32)
+        for u, (code, own) in enumerate(zip(T.codes, T.own)):
+            at = np.minimum(np.searchsorted(T.vocabulary, text), len(T.vocabulary) - 1)
+            ids = np.concatenate([pad, code[np.where(T.vocabulary[at] == text, at + 1, 0)], pad])
+            for low in range(len(ids) - len(own) - 2 * license_scan.BAND + 1):
+                n, a, b = T._align(own, ids[low : low + len(own) + 2 * license_scan.BAND])
+                if n >= 0.75 * len(own):
+                    every.add((0, u, n, low + a - 60, low + b - 60))
+        assert set(T.found(text, np.array([0, len(text)]), 0.75)) == every
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
