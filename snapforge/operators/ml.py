@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, RegexTokenizer, StopWordsRemover, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -62,13 +62,39 @@ def folds(dates: list[date], train_days: int = 30, val_days: int = 7, step: int
     return out
 
 
-def boosted(rows: DataFrame, label: str, key: str = "uuid", rounds: int = 20) -> GBTRegressor:
-    """Absolute loss with early stopping on the fifth of the keys that a hash picks."""
-    marked = rows.withColumn("is_validation", F.pmod(F.xxhash64(key), F.lit(5)) == 0)
-    return GBTRegressor(labelCol=label, lossType="absolute", maxIter=rounds, maxDepth=3, seed=7, validationIndicatorCol="is_validation").fit(marked)
-
-
-def by_tier(rows: DataFrame, label: str, price: str = "eur", least: int = 50, rounds: int = 20) -> dict:
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """The round of least error before `patience` rounds without a lesser one, and whether those have been seen."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def boosted(rows: DataFrame, label: str, key: str = "uuid", rounds: int = 1000, patience: int = 50) -> GBTRegressionModel:
+    """Absolute loss, up to the best round on the fifth of the keys that a hash picks; stops after `patience` rounds without gain.
+    Spark can't go on with a model, so that the rounds are doubled until the stop is seen; a seed gives the same first trees."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    marked = rows.withColumn("is_validation", F.pmod(F.xxhash64(key), F.lit(5)) == 0).repartition(tasks).persist()
+    try:
+        train, held = marked.where("NOT is_validation"), marked.where("is_validation")
+        if train.isEmpty() or held.isEmpty():  # too few keys to hold some out
+            train = held = marked
+        grown = lambda n: GBTRegressor(labelCol=label, lossType="absolute", maxIter=n, maxDepth=3, seed=7).fit(train)
+        n = min(rounds, patience + 14)
+        while True:
+            model = grown(n)
+            best, seen = best_round(model.evaluateEachIteration(held, "absolute"), patience)
+            if seen or n >= rounds:
+                return model if best == n else grown(best)
+            n = min(rounds, 2 * n)
+    finally:
+        marked.unpersist()
+
+
+def by_tier(rows: DataFrame, label: str, price: str = "eur", least: int = 50, rounds: int = 1000) -> dict:
     """A model for tiers 1 and 2, the second only with enough rows; tier 3 has none."""
     marked = rows.withColumn("tier", tier(F.col(price)))
     counts = {r["tier"]: r["count"] for r in marked.groupBy("tier").count().collect()}

@@ -114,7 +114,7 @@ def boosted(spark: SparkSession, d: str) -> DataFrame:
     p = _prices(spark, d)
     rows = ml.lag_features(p, "2024-01-15").join(ml.target(p, "2024-01-15"), "uuid").where("lag_7d IS NOT NULL AND lag_14d IS NOT NULL OR lag_1d IS NOT NULL")
     rows = ml.features(["lag_1d", "lag_7d", "roll_mean_7"], [], ["eur"]).fit(rows).transform(rows)
-    models = ml.by_tier(rows, "log_return_7d", least=5, rounds=5)
+    models = ml.by_tier(rows, "log_return_7d")
     return ml.predict_by_tier(rows, models).select("uuid", "snapshot_date", "tier", F.col("prediction"))
 
 

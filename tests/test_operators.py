@@ -187,3 +187,20 @@ def test_similar_is_brute_force(spark, monkeypatch):
     asked = FRAMES["so07_similar"][0](spark, "/root/testdata/sf0.001").groupBy("query").count().collect()
     ids = {r.p_partkey for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
     assert {r["query"]: r["count"] for r in asked} == {i: 10 for i in ids if i % 20 == 0}
+
+
+def test_boosting_stops_by_patience(spark):
+    assert ml.best_round([3.0, 2.0, 2.5, 2.0, 1.0, 4.0], 3) == (5, False) and ml.best_round([3.0, 2.0, 2.5, 2.0, 2.1, 1.0], 3) == (2, True)
+    rows = spark.createDataFrame([(str(i), float(i % 37), i % 37 * 2.0 + i % 2) for i in range(200)], "uuid string, eur double, y double")
+    rows = ml.features([], [], ["eur"]).getStages()[1].transform(rows)
+    assert ml.boosted(rows, "y", rounds=12, patience=3).getNumTrees > 5
+
+
+def test_boosted_query_has_production_parameters(spark, monkeypatch):
+    from snapforge.plans.frame_queries import FRAMES
+
+    asked = []
+    monkeypatch.setattr(ml, "boosted", lambda rows, label, key="uuid", rounds=0, patience=50: asked.append((rounds, patience, rows.count())))
+    monkeypatch.setattr(ml, "predict_by_tier", lambda rows, models: rows.withColumns({"tier": F.lit(1), "prediction": F.lit(None)}))
+    FRAMES["ml12_boosted_by_tier"][0](spark, "/root/testdata/sf0.01")
+    assert asked and all(r == 1000 and p == 50 for r, p, _ in asked) and all(n >= 50 for _, _, n in asked[1:])
