@@ -113,16 +113,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, the same wherever it stands: a polynomial over random byte values, finalised with its length."""
+def hashed_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of random values, the same wherever it stands: a polynomial over them, finalised with its length."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers(_BASE, len(data)), out=total[1:])
-    own = (total[ends] - total[starts]) * _powers(_INVERSE, len(data))[starts]
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_BASE, len(values)), out=total[1:])
+    own = (total[ends] - total[starts]) * _powers(_INVERSE, len(values))[starts]
     return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """hashed_spans of bytes."""
+    return hashed_spans(_TABLE[data], starts, ends)
+
+
 def row_of(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 

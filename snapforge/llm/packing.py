@@ -9,7 +9,8 @@ which finds there how often each of a bounded list of patterns is used:
 Each rest gets its rank among those of its length (numbered in salted groups, so a length that a third of all documents share is
 spread), and the rank decides pattern, repeat and place. So nothing larger than the histogram is ever gathered.
 
-Null and empty texts have the end id alone. Repeated rows are packed as often as they come. An empty table gives no rows. Very long
+Null and empty texts have the end id alone. Repeated rows are packed as often as they come; of pieces of one length it makes no
+difference which stands where, and ties go by id, start and content. An empty table gives no rows. Very long
 texts are tokenized in whole, one at a time. Extra columns aren't read.
 """
 
@@ -28,85 +29,141 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import materialise, slices, table
+from .common import hashed_spans, materialise, mix, slices, table, text_bytes
 from .token_counts import tokenizer_path
 
 GRID = 128  # grid lengths in a window, for the least squares
 DEEPEST = 3
-#: Pieces that a worker keeps, and half the chunks; beyond that it starts afresh.
+#: Pieces, and chunks that go to the tokenizer whole, that a worker keeps; beyond that it starts afresh.
 KEPT_WORDS = 400_000
 
 # ---------------------------------------------------------------- tokens
 
-#: The pieces that the word tokenizer's pattern makes of a chunk without white space, for plain characters in lower case.
-_PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*\Z")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Characters that the word tokenizer's pattern cuts plainly: each is one character in lower case, a letter, a digit or a mark.
+_PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+_LETTER = re.compile(r"[^\W\d_]")
+#: What the pattern cuts off after an apostrophe.
+_SHORT, _LONG = "stmd", ("re", "ve", "ll")
+_GAP, _LETTERS, _DIGIT, _MARK, _HARD = range(5)
 _MEMO: dict[str, WordIds] = {}
 
 
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """By character below 592: its class, and its lower case. The last entry stands for all other characters."""
+    kinds, low = np.full(593, _HARD, np.uint8), np.arange(593, dtype=np.int64)
+    for c in range(592):
+        lower = chr(c).lower()
+        if c == 0x20 or 9 <= c <= 13:
+            kinds[c] = _GAP
+        elif _PLAIN.match(chr(c)) and len(lower) == 1 and _PLAIN.match(lower):
+            kinds[c] = _LETTERS if _LETTER.match(lower) else _DIGIT if lower.isdigit() else _MARK
+            low[c] = ord(lower)
+    return kinds, low
+
+
 class WordIds:
-    """Ids of texts by a tokenizer whose white space only separates: each distinct chunk between white space is encoded once and
-    kept; a chunk of plain characters is cut into the tokenizer's own pieces, which are kept too."""
+    """Ids of texts by a tokenizer whose white space only separates. The characters of many texts are cut at once into the pieces of
+    the tokenizer's pattern, and each distinct piece is encoded once and found again by a 64-bit hash; chunks between white space
+    with a character that isn't plain, or with the beginning of a special token, go to the tokenizer whole."""
 
     def __init__(self, name: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes_to_chars = _byte_chars()
-        self.pieces: dict[str, list[int]] = {}
+        self.kinds, self.low = _classes()
+        self.values = mix(np.arange(1, 594, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.codes, self.chunks = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+        self.flat, self.starts, self.counts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.n = 0
+
+    def _keep(self, ids: list[int]) -> int:
+        """The code of a new piece."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        if self.n == len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.n], self.counts[self.n] = self.used, len(ids)
+        self.used += len(ids)
+        self.n += 1
+        return self.n - 1
 
     def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            word = piece.encode().decode("latin-1").translate(self.bytes_to_chars)
-            got = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(word)]
-        return got
-
-    def _chunk(self, chunk: str) -> list[int]:
-        low = chunk.lower()
-        if not _PLAIN.match(low) or len(low) != len(chunk) or "<|" in low:
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in _PIECES.findall(low):
-            out += self._piece(piece)
-        return out
+        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_to_chars))]
+
+    def _cut(self, points: np.ndarray, kinds: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of every piece, and which pieces are chunks for the tokenizer."""
+        gap = kinds == _GAP
+        change = np.ones(len(points), bool)
+        change[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+        # the texts end with a gap, so what follows an apostrophe is there
+        for i in np.flatnonzero((low == 0x27) & change & (kinds == _MARK)).tolist():
+            after = low[i + 1 : i + 3].tolist()
+            if len(after) == 2 and after[0] < 128 and chr(after[0]) in _SHORT:
+                change[i + 1], change[i + 2] = False, True
+            elif len(after) == 2 and after[1] < 128 and chr(after[0]) + chr(after[1]) in _LONG:
+                change[i + 1], change[i + 3] = False, True
+        hard = kinds == _HARD
+        hard[:-1] |= (points[:-1] == 0x3C) & (points[1:] == 0x7C)
+        if hard.any():
+            chunk = np.cumsum(gap)
+            inside = np.zeros(int(chunk[-1]) + 1, bool)
+            inside[chunk[hard]] = True
+            whole = inside[chunk] & ~gap
+            change[1:][whole[1:] & ~gap[:-1]] = False
+        else:
+            whole = hard
+        start = np.flatnonzero(change & ~gap)
+        ends = np.flatnonzero(change | gap)
+        end = ends[np.searchsorted(ends, start, side="right")] if len(start) else start
+        return start, end, whole[start]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the n+1 offsets of the texts in them."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        edges = np.asarray(words.offsets, dtype=np.int64) - words.offsets[0].as_py()
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > 2 * KEPT_WORDS:
+        data, lengths = text_bytes(pc.binary_join_element_wise(pc.fill_null(texts, ""), "", " "))
+        if self.n > KEPT_WORDS:
             self.clear()
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces.clear()
-        known, fresh = self.known, []
-        at = np.empty(len(distinct), np.int64)
-        for i, w in enumerate(distinct):
-            k = known.get(w)
-            if k is None:
-                k = known[w] = len(known)
-                fresh.append(self._chunk(w))
-            at[i] = k
-        if fresh:
-            n = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self.counts = np.concatenate([self.counts, n])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for f in fresh for x in f), np.uint32, int(n.sum()))])
-            self.starts = np.cumsum(self.counts) - self.counts
-        code = at[np.asarray(coded.indices, dtype=np.int64)] if len(distinct) else np.zeros(0, np.int64)
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.flatnonzero((data & 0xC0) != 0x80) if len(points) < len(data) else np.arange(len(points))  # each character's first byte
+        known = np.minimum(points, 592)
+        kinds, low = self.kinds[known], self.low[known]
+        start, end, whole = self._cut(points, kinds, low)
+        code = np.zeros(len(start), np.int64)
+
+        own = np.flatnonzero(~whole)
+        hashes = hashed_spans(self.values[low], start[own], end[own])
+        code[own], lost = self._find(hashes)
+        if len(lost):
+            fresh, at = np.unique(hashes[lost], return_index=True)
+            new = [self._keep(self._piece("".join(map(chr, low[start[own[i]] : end[own[i]]].tolist())))) for i in lost[at].tolist()]
+            place = np.searchsorted(self.hashes, fresh)
+            self.hashes, self.codes = np.insert(self.hashes, place, fresh), np.insert(self.codes, place, new)
+            code[own[lost]] = self._find(hashes[lost])[0]
+        for i in np.flatnonzero(whole).tolist():
+            chunk = points[start[i] : end[i]].tobytes().decode("utf-32-le", "surrogatepass")
+            if chunk not in self.chunks:
+                self.chunks[chunk] = self._keep(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            code[i] = self.chunks[chunk]
+
         n = self.counts[code]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         where = np.arange(total) + np.repeat(self.starts[code] - (ends - n), n)
-        return self.flat[where], np.concatenate([[0], ends])[edges]
+        rows = np.searchsorted(first[start], lengths) if len(start) else np.zeros(len(lengths), np.int64)
+        return self.flat[where], np.concatenate([[0], ends])[rows]
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of kept hashes, and the places of those that aren't kept."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.arange(len(hashes))
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return self.codes[at], np.flatnonzero(self.hashes[at] != hashes)
 
 
 def _byte_chars() -> dict[int, str]:
@@ -131,7 +188,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, window: int, end_id: int, id_col:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 ids, offsets = encode(part.column("text"))
                 whole = np.insert(ids.astype("<u4"), offsets[1:], end_id)  # the end id after each text
                 edges = offsets + np.arange(len(offsets))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,27 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.where("false")).count() == 0
 
 
+def test_word_ids_are_the_library_s():
+    atoms = ["'s", "'t", "'re", "'ve", "'ll", "'m", "'d", "'S", "'RE", "'", "don't", "Hello", "wörld", "<|endoftext|>", "<|", "|>", "<", "|", "é", "É", "İ", "ß", "ſ", "ǅ", "1", "23", "_", "!", "?'s", " ", "  ", "\t", "\n", "\x0b"]
+    atoms += ["\x1c", "\x85", "\xa0", "\u3000", "日本", "🙂", "a", "B", "\xad", "²", "½", "µ", "×", "ª", "º", "\x00", "\u0301", "ɐ", "ɏ", "Straße", "'r", "'l", "re"]
+    r = random.Random(4)
+    rows = ["".join(r.choice(atoms) for _ in range(r.randint(0, 12))) for _ in range(6000)] + [None, "", "word " * 3000, "x" * 5000]
+    encode = packing.WordIds("word_bpe_49k.json")
+    for _ in range(2):  # the second time from what it kept
+        ids, offsets = encode(pa.array(rows))
+        for x, a, b in zip(rows, offsets, offsets[1:]):
+            assert ids[a:b].tolist() == encode.tokenizer.encode(x or "", add_special_tokens=False).ids, x
+    assert encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_packing_ties_and_whole_windows(spark):
+    one = ["a"] * 15, ["a"] * 16, ["a"] * 31, ["a"] * 32, ["a"] * 14
+    rows = [(i % 3, " ".join(x)) for i, x in enumerate(one * 4)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), window=16).collect()
+    assert sum(r.length for r in got) == 4 * sum(len(x) + 1 for x in one) and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert sum(r.length == 16 for r in got) == 4 * (1 + 1 + 2 + 2)
+
+
 def test_least_squares():
     a = np.array([[1.0, 0, 2], [0, 1, 1]])
     x = packing.least_squares(a, np.array([4.0, 2.0]))
