@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir; only where that is unset and all runs on one machine (tests), a temporary one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     set_before = spark.sparkContext.getCheckpointDir()
     if not set_before:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='snapforge-')}")
         set_before = spark.sparkContext.getCheckpointDir()
     return set_before.rstrip("/")
@@ -39,7 +43,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of materialised tables that nothing will read any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back to the system at its end: a worker lives on for tasks of other stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library; it has its own ways
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -108,7 +143,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base, np.ones(1, np.uint64))
     while len(have) < n:
         have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    if len(have) <= 16 << 20:
+    if len(have) <= 2 << 20:
         _POWERS[base] = have
     return have[:n]
 
@@ -136,7 +171,9 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ro
     """(id, component_id): the smallest id that `edges` (a, b: long) reach from each id that has an edge.
 
     Alternates the large-star and small-star steps until no edge changes, with each round's edges written to the shared
-    folder; edges shrink to stars, so a round moves at most the edges once and no group meets in one task but as min().
+    folder and the last one's deleted; edges shrink to stars, so a round moves at most the edges once and no group meets in one
+    task but as min(). A star's centre is one key of a sort-merge join whose other side has one row for it: adaptive execution
+    splits it. The last round's folder stays, as the result reads it.
     """
     pairs = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct()
     pairs = materialise(pairs, "edges")
@@ -150,7 +187,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ro
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(small_least, "v")
         small = small.select(F.col("m").alias("u"), F.col("u").alias("v")).union(small.select(F.col("m").alias("u"), "v")).where("u < v").distinct()
-        pairs = materialise(small, "edges")
+        old, pairs = pairs, materialise(small, "edges")
+        discard(old)
         state = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -167,6 +167,63 @@ def test_jaccard_join(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == brute_components(data)
     assert jaccard_join.jaccard_components(docs.where("false")).count() == 0
+    rows = docs.where("doc_id % 9 = 0 OR doc_id > 4000")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows, exact=True).collect()} == brute_components([x for x in data if x[0] % 9 == 0 or x[0] > 4000])
+
+
+def test_jaccard_join_of_a_hot_family(spark, monkeypatch):
+    """Copies of copies, whose chains join sets that don't link, over several map tasks and group tiles; null and repeated ids."""
+    monkeypatch.setattr(jaccard_join, "DEAL", 300)
+    r = random.Random(8)
+    base = [f"v{r.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        base = list(base) if i % 20 else [f"u{r.randrange(50)}" for _ in range(40)] + base[40:]
+        base[r.randrange(len(base))] = f"n{i}"
+        rows.append((i, " ".join(base)))
+    rows += [(200 + i, rows[i][1]) for i in range(0, 160, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(docs).collect()}
+    want = brute_components(rows)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 100
+    odd = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c"), (1, "d e f"), (2, "d e f")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.jaccard_components(odd).collect()), key=str) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (None, 1, None), (None, 1, None)]
+
+
+def test_groups_of_signatures():
+    """Map side and reduce side together give the edges and members of all groups."""
+    r = random.Random(3)
+    rows = [(r.randrange(40), i, r.randrange(1, 60) * 2) for i in range(300)]
+    onward, edges, groups = [], [], []
+    for k in range(0, 300, 50):
+        part = [np.array(x, t) for x, t in zip(zip(*rows[k : k + 50]), (np.uint64, np.int64, np.uint64))]
+        on, e, g = jaccard_join._group(*part, everywhere=False)
+        onward.append(on)
+        edges += e
+        groups += g
+    _, e, g = jaccard_join._group(*(np.concatenate(x) for x in zip(*onward)), everywhere=True)
+    dig = {i: d for _, i, d in rows}
+    near = {i: {i} for i in dig}
+    for a, b, _ in edges + e:
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            near[x].add(y)
+            near[y].add(x)
+    of: dict = {}
+    for gid, members in groups + g:
+        for i, own in zip(gid.to_pylist(), members.to_pylist()):
+            of.setdefault(i, set()).update(dig[x] for x in own)
+    for s in {s for s, _, _ in rows}:
+        own = {i for t, i, _ in rows if t == s}
+        kinds = {dig[i] for i in own}
+        if len(kinds) > 2:
+            assert of[s] == kinds
+        reached, todo = set(), [min(own)]
+        while todo:  # by edges and equal digests
+            x = todo.pop()
+            if x not in reached:
+                reached.add(x)
+                todo += [*near[x], *(y for y in own if dig[y] == dig[x])]
+        assert own <= reached
 
 
 def test_schemes():
