@@ -167,34 +167,74 @@ def row_of(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
+#: Edges that a task contracts at once.
+CONTRACTED = 1_000_000
+
+
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each component of the edges, edges from its least vertex to all its others."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    tail = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[tail]], ids[tail]
+
+
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (u, v) as the stars of its own components."""
+    held: list[pa.RecordBatch] = []
+
+    def stars() -> pa.RecordBatch:
+        u, v = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in ("u", "v"))
+        held.clear()
+        u, v = local_stars(u, v)
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) > CONTRACTED:
+            held.append(stars())
+            if held[0].num_rows > CONTRACTED // 2:  # mostly stars already
+                yield held.pop()
+    if held:
+        yield stars()
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 40) -> DataFrame:
     """(id, component_id): the smallest id that `edges` (a, b: long) reach from each id that has an edge.
 
-    Alternates the large-star and small-star steps until no edge changes, with each round's edges written to the shared
-    folder and the last one's deleted; edges shrink to stars, so a round moves at most the edges once and no group meets in one
-    task but as min(). A star's centre is one key of a sort-merge join whose other side has one row for it: adaptive execution
+    Each task first contracts its own edges to stars. Then large-star and small-star steps alternate, and each round's edges are
+    contracted by task again and written to the shared folder, the last round's deleted, until all edges are stars. No group meets in
+    one task but as min(). A star's centre is one key of a sort-merge join whose other side has one row for it: adaptive execution
     splits it. The last round's folder stays, as the result reads it.
     """
-    pairs = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct()
-    pairs = materialise(pairs, "edges")
-    before = None
+    pairs = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v")
+    pairs = materialise(pairs.mapInArrow(frugal(contract), "u long, v long"), "edges")
     for _ in range(rounds):
+        ends = pairs.select(F.col("u").alias("x"), F.lit(None).cast("long").alias("head")).union(pairs.select(F.col("v").alias("x"), F.col("u").alias("head")))
+        # a star's vertex has one head, or is one: several tasks may have found the same edge
+        if ends.groupBy("x").agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.max(F.col("head").isNull()).alias("is_head")).where("lo < hi OR is_head AND lo IS NOT NULL").isEmpty():
+            break
         both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         # large star: each larger neighbour y of x is linked to the least of x and its neighbours
-        large = both.join(least, "x").where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u < v").distinct()
+        large = both.join(least, "x").where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u < v")
         # small star: the neighbours of v that are not larger, and v, are linked to the least of them
-        small_least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(small_least, "v")
-        small = small.select(F.col("m").alias("u"), F.col("u").alias("v")).union(small.select(F.col("m").alias("u"), "v")).where("u < v").distinct()
-        old, pairs = pairs, materialise(small, "edges")
+        small = large.join(large.groupBy("v").agg(F.min("u").alias("m")), "v")
+        small = small.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), "v"))).alias("e")).select("e.u", "e.v").where("u < v")
+        old, pairs = pairs, materialise(small.mapInArrow(frugal(contract), "u long, v long"), "edges")
         discard(old)
-        state = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    stars = pairs.groupBy("v").agg(F.min("u").alias("component_id")).withColumnRenamed("v", "id")
-    roots = pairs.select(F.col("u").alias("id")).distinct().join(pairs.select(F.col("v").alias("id")).distinct(), "id", "left_anti")
-    return stars.union(roots.select("id", F.col("id").alias("component_id")))
+    ends = pairs.select(F.col("u").alias("id"), F.col("u").alias("component_id")).union(pairs.select("v", "u"))
+    return ends.groupBy("id").agg(F.min("component_id").alias("component_id"))
