@@ -6,9 +6,10 @@ the next shorter one, plus each language's weight of that context. A text's cros
 characters; the lowest wins. It is rejected if its distance from the entropy that texts of this length have in that language, in
 standard errors, is beyond what any text of the calibration part shows, with a margin.
 
-Null texts and texts without a letter are `und` with score 0, and rejected. Ties go to the language that comes first. Whole texts
-are scored, very long ones alone. Languages are learned from a bounded sample, SAMPLE texts of each, taken by hash and not by
-position. Without any labelled text all are `und`. Extra columns aren't read.
+A letter that no language's texts have counts 1 / 256 in all of them. Null texts and texts without a letter are `und` with score 0,
+and rejected. Ties go to the language that comes first. Repeated rows are scored alike, each for itself. Whole texts are scored, very
+long ones alone. Languages are learned from a bounded sample, SAMPLE texts of each and SAMPLE_TOTAL characters in all, taken by hash
+and not by position. Without any labelled text all are `und`. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, slices, table
+from .common import frugal, mix, slices, table
 
 ORDER = 4
 #: Texts of each language that a model is learned from at most, and the characters that such a text has at most.
 SAMPLE, SAMPLE_CHARS = 600, 200_000
+#: Characters of all texts of all languages that models are learned from at most: what the driver holds.
+SAMPLE_TOTAL = 24_000_000
 BITS = 8  # of a character's code
 MARGIN = 2.0
 
@@ -206,7 +209,8 @@ def train(texts: dict[str, list[str]]) -> Models:
 
 
 def sample(docs: DataFrame, *, per_language: int = SAMPLE) -> dict[str, list[str]]:
-    """About per_language texts of each label, those of the smallest hashes, for the driver."""
+    """About per_language texts of each label, those of the smallest hashes, for the driver: of all labels together at most
+    SAMPLE_TOTAL characters, which the labels share equally. A label whose first text is beyond its share has none."""
     labelled = docs.where(f"lang IS NOT NULL AND length(text) <= {SAMPLE_CHARS}").select("lang", "text", F.xxhash64("doc_id", F.length("text")).alias("__h"))
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
     # in expectation a little more than per_language, cut at per_language; all where there are fewer
@@ -215,10 +219,14 @@ def sample(docs: DataFrame, *, per_language: int = SAMPLE) -> dict[str, list[str
     near = labelled.join(F.broadcast(counts), "lang").where((F.shiftrightunsigned("__h", 11) / F.lit(float(1 << 53))) < share)
     rows = near.select("lang", "text", "__h").orderBy("__h").toLocalIterator()
     out: dict[str, list[str]] = {}
+    room = dict.fromkeys((r["lang"] for r in counts.select("lang").toLocalIterator()), 0)
+    room = dict.fromkeys(room, SAMPLE_TOTAL // max(1, len(room)))
     for r in rows:
-        if len(own := out.setdefault(r["lang"], [])) < per_language:
+        own = out.setdefault(r["lang"], [])
+        if len(own) < per_language and len(r["text"]) <= room[r["lang"]]:
+            room[r["lang"]] -= len(r["text"])
             own.append(r["text"])
-    return out
+    return {x: own for x, own in out.items() if own}
 
 
 PREDICTED = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("entropy", T.DoubleType()), ("rejected", T.BooleanType())]
@@ -252,7 +260,7 @@ def predict(docs: DataFrame, models: Models, *, text_col: str = "text") -> DataF
                     names=[*part.schema.names, *(k for k, _ in PREDICTED)],
                 )
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in PREDICTED)]))
+    return docs.mapInArrow(frugal(score), T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in PREDICTED)]))
 
 
 def held_out(doc_id: str = "doc_id"):

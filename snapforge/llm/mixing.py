@@ -6,7 +6,9 @@ below the found threshold are taken once more than the others, so nothing is sor
 
 Sizes are numbers of words `[^\x20\x09-\x0D]+`; null and empty texts have size 0. A null source is a source of its own, the last in
 order. Rows with equal id and text tie and are taken alike. Reruns agree, as nothing but the rows decides. Extra columns aren't
-read by `mix_plan`. An empty table gives no rows; targets are then of no consequence.
+read by `mix_plan`. Very long texts count whole, and one that is larger than what a budget has left is passed over. An empty table
+gives no rows; targets are then of no consequence. The sources, one row each, are ordered in one task, and their rules are joined to
+all rows: that holds for some millions of sources, not for a source a document.
 """
 
 from __future__ import annotations
@@ -118,12 +120,12 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs with the rows that the mix takes, each as often as it takes them; all columns stay as they are."""
-    key = place(F.col("doc_id"), F.col("text"))
-    plan = mix_plan(docs).select(F.col("doc_id").alias("__id"), F.col("place").alias("__place"), F.col("source").alias("__source"), "repeats").where("repeats > 0").dropDuplicates(["__id", "__place", "__source"])
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__place")) & docs["source"].eqNullSafe(F.col("__source"))
-    taken = docs.join(plan, same)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "repeats"))).select(*[docs[c] for c in docs.columns])
+    """docs with the rows that the mix takes, each as often as it takes them; all columns stay as they are, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), place(F.col("doc_id"), F.col("text")).alias("at"), F.col("source").alias("of"))
+    plan = mix_plan(docs).where("repeats > 0").select(F.col("doc_id").alias("x"), F.col("place").alias("y"), F.col("source").alias("z"), "repeats").dropDuplicates(["x", "y", "z"])
+    taken = rows.join(plan, F.col("id").eqNullSafe(F.col("x")) & (F.col("at") == F.col("y")) & F.col("of").eqNullSafe(F.col("z")))
+    copies = taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")).alias("copy"))
+    return copies.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

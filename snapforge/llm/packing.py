@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import hashed_spans, materialise, mix, slices, table, text_bytes
+from .common import frugal, hashed_spans, materialise, mix, slices, table, text_bytes
 from .token_counts import tokenizer_path
 
 GRID = 128  # grid lengths in a window, for the least squares
@@ -202,7 +202,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, window: int, end_id: int, id_col:
                 crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(base.tolist(), (base + 4 * length).tolist())), np.int64, len(doc))
                 yield pa.record_batch([part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc), pa.array(n[doc])], names=PIECES.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(cut), PIECES)
 
 
 # ---------------------------------------------------------------- patterns
