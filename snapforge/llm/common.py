@@ -168,7 +168,7 @@ def row_of(counts: np.ndarray) -> np.ndarray:
 
 
 #: Edges that a task contracts at once.
-CONTRACTED = 1_000_000
+CONTRACTED = 500_000
 
 
 def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,13 +213,21 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 40) -> DataFrame:
     """(id, component_id): the smallest id that `edges` (a, b: long) reach from each id that has an edge.
 
-    Each task first contracts its own edges to stars. Then large-star and small-star steps alternate, and each round's edges are
-    contracted by task again and written to the shared folder, the last round's deleted, until all edges are stars. No group meets in
-    one task but as min(). A star's centre is one key of a sort-merge join whose other side has one row for it: adaptive execution
-    splits it. The last round's folder stays, as the result reads it.
+    Each task first contracts its own edges to stars, of which few tasks of CONTRACTED edges each contract what is left, as long as
+    that makes them fewer: a graph of no more edges is done then. For larger ones large-star and small-star steps alternate, and each
+    round's edges are contracted again and written to the shared folder, the last round's deleted, until all edges are stars. No group
+    meets in one task but as min(). A star's centre is one key of a sort-merge join whose other side has one row for it: adaptive
+    execution splits it. The last round's folder stays, as the result reads it.
     """
     pairs = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v")
-    pairs = materialise(pairs.mapInArrow(frugal(contract), "u long, v long"), "edges")
+    stars = lambda rows: materialise(rows.mapInArrow(frugal(contract), "u long, v long"), "edges")
+    pairs = stars(pairs)
+    tasks, left = None, pairs.count()
+    while tasks != 1 and (tasks is None or left < before // 2):
+        tasks, before, old = left // CONTRACTED + 1, left, pairs
+        pairs = stars(pairs.coalesce(tasks))
+        left = pairs.count()
+        discard(old)
     for _ in range(rounds):
         ends = pairs.select(F.col("u").alias("x"), F.lit(None).cast("long").alias("head")).union(pairs.select(F.col("v").alias("x"), F.col("u").alias("head")))
         # a star's vertex has one head, or is one: several tasks may have found the same edge
@@ -232,7 +240,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ro
         # small star: the neighbours of v that are not larger, and v, are linked to the least of them
         small = large.join(large.groupBy("v").agg(F.min("u").alias("m")), "v")
         small = small.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), "v"))).alias("e")).select("e.u", "e.v").where("u < v")
-        old, pairs = pairs, materialise(small.mapInArrow(frugal(contract), "u long, v long"), "edges")
+        old, pairs = pairs, stars(small.coalesce(max(1, left // CONTRACTED + 1)))
+        left = pairs.count()
         discard(old)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -32,6 +32,27 @@ def test_components(spark):
     assert dict(map(tuple, connected_components(edges).collect())) == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7}
 
 
+def test_components_of_more_edges_than_a_task_takes(spark, monkeypatch):
+    from snapforge.llm import common
+
+    monkeypatch.setattr(common, "CONTRACTED", 20)
+    r = random.Random(9)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(180)] + [(500, 500 + i) for i in range(1, 50)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = dict(map(tuple, connected_components(edges).collect()))
+    assert got == {x: find(x) for x in parent if any(x in p and p[0] != p[1] for p in pairs)}
+
+
 def test_token_counts(spark, docs):
     from tokenizers import Tokenizer
 
