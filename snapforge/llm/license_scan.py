@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_ALNUM, frugal, slices, table, text_bytes, word_hashes, word_spans
 
-#: Words inserted or left out; alignments of windows that are kept for equal ones.
-BAND, KEPT = 4, 100_000
+#: Words inserted or left out.
+BAND = 4
 #: Notices by which licenses are named in documents, and whole licenses: fixed texts.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
     + (_BSD := 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
@@ -45,11 +46,14 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "mit": "Released under the MIT License.",
-    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mit-license": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
@@ -94,7 +98,6 @@ class Templates:
             self.codes.append(code)
         self.own = [code[np.searchsorted(self.vocabulary, w) + 1] for code, w in zip(self.codes, self.words)]
         self.gap = max(map(len, self.words), default=0) + 2 * BAND
-        self.aligned: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         #: The inverted index, by winnowing window: the starts of each vocabulary word's entries, from 1 on, and (template, place).
         self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         kept: dict[int, list[tuple[int, int, int]]] = {}
@@ -118,8 +121,8 @@ class Templates:
             for k in np.unique(t).tolist():
                 low = x[t == k] - p[t == k] - 2 * BAND
                 change = edges.setdefault(k, np.zeros(len(ids) + 1, np.int32))
-                np.add.at(change, np.maximum(low, 0), 1)
-                np.add.at(change, low + 2 * BAND + 1, -1)
+                change += np.bincount(np.maximum(low, 0), minlength=len(change)).astype(np.int32)
+                change -= np.bincount(low + 2 * BAND + 1, minlength=len(change)).astype(np.int32)
         return {k: np.cumsum(change[:-1]) > 0 for k, change in edges.items()}
 
     def found(self, words: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -141,44 +144,47 @@ class Templates:
             code, own = self.codes[t], self.own[t]
             need, width = max(1, math.ceil(self.least * len(own))), len(own) + 2 * BAND
             count = np.concatenate([[0], np.cumsum(code[ids] > 0, dtype=np.int32)])
-            for low in np.flatnonzero(near[: len(ids) - width + 1] & (count[width:] - count[:-width] >= need)).tolist():
-                n, a, b = self.align(t, code[ids[low : low + width]])
-                if n >= need:
-                    r = int(np.searchsorted(starts, low + a, side="right")) - 1
-                    yield r, t, n, int(low + a - starts[r]), int(low + b - starts[r])
-
-    def align(self, template: int, part: np.ndarray) -> tuple[int, int, int]:
-        """Of a window, kept for equal ones."""
-        key = (template, part.tobytes())
-        got = self.aligned.get(key)
-        if got is None:
-            if len(self.aligned) >= KEPT:
-                self.aligned.clear()
-            got = self.aligned[key] = self._align(self.own[template], part)
-        return got
-
-    @staticmethod
-    def _align(own: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
-        """The most template words matched in order within the band about the window's middle, and the span of the matched words."""
-        if (part[BAND : BAND + len(own)] == own).all():
-            return len(own), BAND, BAND + len(own)
-        same = (part[None, :] == own[:, None]).tolist()
-        width = 2 * BAND + 1
-        # best[k]: matches, first and last matched place, ending before window place i + k
-        best: list[tuple[int, int, int]] = [(0, -1, -1)] * (width + 1)
-        for i in range(len(own)):
-            new: list[tuple[int, int, int]] = []
-            for k in range(width + 1):
-                j = i + k  # window words before j are used
-                option = best[k + 1] if k < width else best[k]  # this template word is left out
-                if k and new[k - 1][0] >= option[0]:
-                    option = new[k - 1]
-                if j < len(part) and same[i][j] and best[k][0] + 1 > option[0]:
-                    n, first, _ = best[k]
-                    option = (n + 1, j if first < 0 else first, j + 1)
-                new.append(option)
-            best = new
-        return max(best, key=lambda x: x[0])
+            lows = np.flatnonzero(near[: len(ids) - width + 1] & (count[width:] - count[:-width] >= need))
+            for at in range(0, len(lows), BATCH):
+                some = lows[at : at + BATCH]
+                windows = code[ids[some[:, None] + np.arange(width)]]
+                _, one, same = np.unique((windows.astype(np.uint64) * _MIX[:width]).sum(axis=1), return_index=True, return_inverse=True)
+                n, a, b = (x[same] for x in align(own, windows[one]))  # equal windows once
+                for i in np.flatnonzero(n >= need).tolist():
+                    r = int(np.searchsorted(starts, some[i] + a[i], side="right")) - 1
+                    yield r, t, int(n[i]), int(some[i] + a[i] - starts[r]), int(some[i] + b[i] - starts[r])
+
+
+#: Windows that are aligned at once; random factors of a window's places, by which equal windows are told.
+BATCH = 4_096
+_MIX = np.random.default_rng(17).integers(1, 1 << 63, 1 << 14, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_N, _FIRST = np.int64(1 << 42), np.int64(1 << 21)  # of a packed (matches, place of the first + 1 or 0, place after the last)
+
+
+def align(own: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window the most template words matched in order within the band about its middle, and the span of the matched words."""
+    width, size = 2 * BAND + 1, windows.shape[1]
+    columns = np.ascontiguousarray(windows.T)
+    best = np.zeros((width + 1, len(windows)), np.int64)  # [k]: before window place i + k
+    for i, word in enumerate(own):
+        new = np.empty_like(best)
+        for k in range(width + 1):
+            j = i + k  # window words before j are used
+            option = best[k + 1] if k < width else best[k]  # this template word is left out
+            if k:
+                option = np.where(new[k - 1] >= option & ~(_N - 1), new[k - 1], option)  # of equal counts that which used no more words
+            if j < size:
+                hit = columns[j] == word
+                if hit.any():
+                    had = best[k]
+                    taken = (had & ~(_FIRST - 1)) + _N + (j + 1) + np.where(had & (_N - _FIRST), 0, (j + 1) * _FIRST)
+                    option = np.where(hit & (taken >> 42 > option >> 42), taken, option)
+            new[k] = option
+        best = new
+    found = best[(best >> 42).argmax(axis=0), np.arange(len(windows))]
+    n, a, b = found >> 42, ((found >> 21) & ((1 << 21) - 1)) - 1, found & ((1 << 21) - 1)
+    exact = (windows[:, BAND : BAND + len(own)] == own).all(axis=1)
+    return np.where(exact, len(own), n), np.where(exact, BAND, a), np.where(exact, BAND + len(own), b)
 
 
 def scan(docs: DataFrame, *, least: float = 0.75, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,11 +3,13 @@
 Host labels and path parts are cut at what is not a letter; each run of letters is segmented by Viterbi under a unigram model, and
 a multinomial naive Bayes model scores the words. The unigram model's words are those of the corpus' texts, with their counts, over a
 general list of English words (the tokenizer's, by rank) and their plurals; words that stand alone in the URLs judged count too, but
-a URL alone makes no word, as then every run would be one. Unknown runs get a probability that falls with their length, so
-they stay whole. The classifier is trained on the labelled examples below; words that it never saw say nothing.
+a URL alone makes no word, as then every run would be one. The MOST_WORDS most frequent of these words are known, of equal counts the
+first by code points; they are the same for all URLs of a run, so a verdict depends on its own row and the corpus. Unknown runs get a
+probability that falls with their length, so they stay whole. The classifier is trained on the labelled examples below, or on those
+that the caller gives; words that it never saw say nothing, and a score of 0 or less is no block.
 
 Null URLs and those without `://` have an empty host and path, match no rule and are allowed. Repeated URLs are judged alike, each
-row for itself. An empty table gives no rows. Extra columns aren't read.
+row for itself. Very long URLs are judged whole, in time that grows with their length. An empty table gives no rows. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ ALLOWED = (
 )
 #: Letters of the longest word that is looked for in a run. What the general list counts in all is about 11 times GENERAL.
 LONGEST, GENERAL = 24, 1_000_000
+#: Words that the unigram model knows at most: what the driver holds and each task gets.
+MOST_WORDS = 300_000
 #: Share of the classes before any word is seen.
 PRIOR_BLOCKED = 0.25
 #: (rule, verdict): a host and a path; a rule holds for the host and its subdomains where the path starts with the rule's.
@@ -145,18 +149,19 @@ def lexicon_counts(urls: DataFrame, texts: DataFrame | None) -> dict[str, int]:
     if texts is not None:
         words = words.unionAll(texts.select(letters(F.col(texts.columns[0]))).select("w", F.lit(1).alias("n")))
     counts = words.where(F.length("w").between(3, LONGEST)).groupBy("w").agg(F.sum("n").alias("n")).join(inside, "w", "left_semi").join(runs, "w", "left")
-    return {r["w"]: r["n"] for r in counts.select("w", (F.col("n") + F.coalesce("alone", F.lit(0))).alias("n")).where("n > 0").collect()}
+    found = counts.select("w", (F.col("n") + F.coalesce("alone", F.lit(0))).alias("n")).where("n > 0").orderBy(F.desc("n"), "w").limit(MOST_WORDS)
+    return {r["w"]: r["n"] for r in found.collect()}
 
 
-def judge(pages: DataFrame, texts: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) of every row; texts: the corpus, one column."""
+def judge(pages: DataFrame, texts: DataFrame | None = None, *, blocked=BLOCKED, allowed=ALLOWED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) of every row; texts: the corpus, one column; blocked and allowed: the examples."""
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    seen = lexicon_counts(urls, texts)
+    shared = pages.sparkSession.sparkContext.broadcast(lexicon_counts(urls, texts))  # MOST_WORDS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Words(seen)
+        model = Words(shared.value, blocked, allowed)
         for b in batches:
             score = [model.score(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
             verdict = [v or ("block" if s > 0 else "allow") for v, s in zip(b.column("verdict").to_pylist(), score)]
