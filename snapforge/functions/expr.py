@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Language codes and names: fixed values.
 LANGUAGES = {
     "en": "English", "es": "Spanish", "fr": "French", "de": "German", "it": "Italian", "pt": "Portuguese", "ja": "Japanese", "ko": "Korean", "ru": "Russian",
-    "zhs": "Simplified Chinese", "zht": "Traditional Chinese", "he": "Hebrew", "la": "Latin", "grc": "Ancient Greek", "ar": "Arabic", "sa": "Sanskrit", "ph": "Phyrexian", "qya": "Quenya",
+    "zhs": "Chinese Simplified", "zht": "Chinese Traditional", "he": "Hebrew", "la": "Latin", "grc": "Ancient Greek", "ar": "Arabic", "sa": "Sanskrit", "ph": "Phyrexian", "qya": "Quenya",
 }
 #: Ordinals of rarities: fixed values; others are null.
 RARITIES = {"common": 0, "uncommon": 1, "rare": 2, "mythic": 3}
@@ -65,7 +65,8 @@ def capitalised(text: Column) -> Column:
 
 
 def json_list(text: Column, case=None) -> Column:
-    items = F.from_json(F.coalesce(text, F.lit("[]")), "array<string>")
+    """The items of a JSON list, nested ones as JSON text; null and what isn't a list give no items."""
+    items = F.coalesce(F.from_json(F.coalesce(text, F.lit("[]")), "array<string>"), F.array().cast("array<string>"))
     return F.transform(items, case) if case else items
 
 
@@ -79,8 +80,10 @@ def subtypes(line: Column) -> Column:
 
 
 def any_date(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).cast("date")
+    """By the first format that fits. Years of two digits lie in 1969 to 2068."""
+    d = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).cast("date")
+    return F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d)
 
 
 def reason(confidence: Column) -> Column:
-    return F.format_string("ML predicts +%.0f%% in 7d", (confidence - 1) * 100)
+    return F.format_string("ML predicts +%.0f%% in 7d", F.bround((confidence - 1) * 100, 0))  # halves to the even number

@@ -1,31 +1,47 @@
-"""Features at a date, folds, baselines, boosted trees by tier, metrics, recommendation and monitoring."""
+"""Features at a date, folds, baselines, boosted trees by tier, metrics and recommendation."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, RegexTokenizer, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.expr import log_return, ordinal, ratio, reason, tier
+from ..functions.expr import inverse_log_return, log_return, ordinal, ratio, reason, tier
+from .gold import with_columns
 from .windows import history, last
 
 
+#: Columns that tell of the future and never are features.
+LEAKAGE = ("price_ath", "price_atl", "days_with_price")
+#: Features by their treatment: nulls become the median, zero, or stay apart.
+MEDIAN = ["edhrec_rank", "edhrec_saltiness", "foil_premium"]
+ZERO = ["top8_appearances_30d", "deck_pct"]
+PLAIN = [
+    "rarity_ord", "print_count", "mana_value", "format_count", "lag_1d", "lag_7d", "lag_14d", "lag_30d", "rolling_mean_7d", "rolling_std_14d", "rolling_min_30d", "rolling_max_30d", "momentum_7d", "log_eur",
+    "is_reserved", "is_legendary", "is_commander_legal", "has_mtgjson_data",
+]
+#: What a missing plain feature is to the trees: below all values, so that a split can set it apart.
+MISSING = -1e9
+
+
 def lag_features(prices: DataFrame, day: str) -> DataFrame:
     """Windows over the whole history, then the rows of one day."""
     w = history()
-    rows = prices.withColumns({f"lag_{n}d": F.lag("eur", n).over(w) for n in (1, 7, 14, 30)})
+    rows = with_columns(prices, {"edhrec_rank": "double", "foil_premium": "double"}).select("uuid", "snapshot_date", "eur", "edhrec_rank", "foil_premium")
+    rows = rows.withColumns({f"lag_{n}d": F.lag("eur", n).over(w) for n in (1, 7, 14, 30)})
     rows = rows.withColumns({
-        "roll_mean_7": F.avg("eur").over(last(7)), "roll_std_14": F.stddev_samp("eur").over(last(14)),
-        "roll_min_30": F.min("eur").over(last(30)), "roll_max_30": F.max("eur").over(last(30)), "momentum_7d": ratio(F.col("eur") - F.col("lag_7d"), F.col("lag_7d")),
+        "rolling_mean_7d": F.avg("eur").over(last(7)), "rolling_std_14d": F.stddev_samp("eur").over(last(14)),
+        "rolling_min_30d": F.min("eur").over(last(30)), "rolling_max_30d": F.max("eur").over(last(30)), "momentum_7d": ratio(F.col("eur") - F.col("lag_7d"), F.col("lag_7d")),
     })
     return rows.where(F.col("snapshot_date") == F.to_date(F.lit(day)))
 
@@ -36,32 +52,131 @@ def target(prices: DataFrame, day: str, ahead: int = 7) -> DataFrame:
     return now.join(later, "uuid").select("uuid", log_return(F.col("p0"), F.col("p1")).alias(f"log_return_{ahead}d"))
 
 
-def training_frame(lags: DataFrame, cards: DataFrame, targets: DataFrame) -> DataFrame:
-    """Inner join of the three; logs of prices, the one-day return, ordinal rarity; booleans as numbers, null as false."""
-    own = [c for c in cards.columns if c == "uuid" or c not in lags.columns]
-    rows = lags.join(cards.select(*own), "uuid").join(targets, "uuid")
-    rows = rows.withColumns({"log_eur": F.log1p("eur"), "roll_mean_7": F.log1p("roll_mean_7"), "return_1d": log_return(F.col("lag_1d"), F.col("eur"))})
-    if "rarity" in rows.columns:
-        rows = rows.withColumn("rarity", ordinal(F.col("rarity")))
-    return rows.select(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) if t == "boolean" else F.col(n) for n, t in rows.dtypes])
+def enrich_cards(cards: DataFrame, stubs: bool = True) -> DataFrame:
+    """Card features with the rarity's ordinal; stubs: the columns of sources that aren't there yet, constant."""
+    rows = with_columns(cards, {"rarity": "string"}).withColumn("rarity_ord", ordinal(F.col("rarity")).cast("double"))
+    constant = {"has_mtgjson_data": 1.0, "top8_appearances_30d": 0.0, "deck_pct": 0.0} if stubs else {}
+    rows = rows.withColumns({c: F.lit(v) for c, v in constant.items()})
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("is_reserved", "is_legendary", "is_commander_legal", "has_mtgjson_data") if c in rows.columns})
+
+
+def enrich_lags(lags: DataFrame) -> DataFrame:
+    """Lag features with the price's logarithm, the rolling mean as its logarithm, and the return since the row before."""
+    return lags.withColumns({"log_eur": F.log1p("eur"), "rolling_mean_7d": F.log1p("rolling_mean_7d"), "lag_1d_return": ratio(F.col("eur") - F.col("lag_1d"), F.col("lag_1d"))})
+
+
+def plain_types(rows: DataFrame) -> DataFrame:
+    """No nulls where a number must be: booleans are false, whole numbers 0; doubles stay as they are."""
+    zero = {"boolean": F.lit(False), "tinyint": F.lit(0), "smallint": F.lit(0), "int": F.lit(0), "bigint": F.lit(0)}
+    return rows.select(*[F.coalesce(F.col(n), zero[t].cast(t)).alias(n) if t in zero else F.col(n) for n, t in rows.dtypes])
+
+
+def without_leakage(rows: DataFrame) -> DataFrame:
+    return rows.drop(*LEAKAGE)
+
+
+def inference_features(prices: DataFrame, cards: DataFrame, day: str) -> DataFrame:
+    """The matrix that models see, in training and in use: the day's lags beside the cards' attributes."""
+    lags, own = enrich_lags(lag_features(prices, day)), enrich_cards(cards)
+    return plain_types(lags.join(own.select("uuid", *[c for c in own.columns if c not in lags.columns]), "uuid"))
+
+
+def training_frame(prices: DataFrame, cards: DataFrame, day: str) -> DataFrame:
+    """inference_features of the rows that have a target, with it and without what leaks."""
+    return without_leakage(inference_features(prices, cards, day).join(target(prices, day), "uuid"))
 
 
-def features(median: list[str], zero: list[str], plain: list[str]) -> Pipeline:
-    imputer = Imputer(strategy="median", inputCols=median, outputCols=[f"{c}_filled" for c in median])
-    return Pipeline(stages=[imputer, VectorAssembler(inputCols=[*[f"{c}_filled" for c in median], *zero, *plain], outputCol="features", handleInvalid="skip")])
+class Features:
+    """The vector that models see. Nulls of the median columns become the fitted rows' median (MISSING where these have none), of the
+    zero columns 0, of the plain ones MISSING."""
+
+    def __init__(self, median: list[str] = MEDIAN, zero: list[str] = ZERO, plain: list[str] = PLAIN) -> None:
+        self.median, self.zero, self.plain = median, zero, plain
+        self.names = [*median, *zero, *plain]
+        self.fill = dict.fromkeys(zero, 0.0) | dict.fromkeys([*plain, *median], MISSING)
+
+    def fit(self, rows: DataFrame) -> Features:
+        if self.median:
+            found = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in self.median]).first()
+            self.fill |= {c: found[c] for c in self.median if found[c] is not None}
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("features", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float(self.fill[c]))) for c in self.names])))
 
 
 def folds(dates: list[date], train_days: int = 30, val_days: int = 7, step: int = 7, least: int = 3) -> list[tuple[date, date, date]]:
-    """(first train day, first validation day, day after the last); an error if there are fewer than `least`."""
-    out, at = [], min(dates)
-    while at + timedelta(train_days + val_days) <= max(dates) + timedelta(1):
-        out.append((at, at + timedelta(train_days), at + timedelta(train_days + val_days)))
-        at += timedelta(step)
+    """(first train day, first validation day, day after the last); an error if there are fewer than `least`. The train window starts
+    with the first date and grows."""
+    out, split = [], min(dates) + timedelta(train_days)
+    while split + timedelta(val_days) <= max(dates) + timedelta(1):
+        out.append((min(dates), split, split + timedelta(val_days)))
+        split += timedelta(step)
     if len(out) < least:
         raise ValueError(f"{len(out)} folds; {least} are needed")
     return out
 
 
+#: A model to cross-validate: from (train, validation), with features and log_return_7d, to validation with prediction.
+Model = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def naive(train: DataFrame, val: DataFrame) -> DataFrame:
+    return val.withColumn("prediction", F.lit(0.0))
+
+
+def mean_return(train: DataFrame, val: DataFrame) -> DataFrame:
+    return val.crossJoin(F.broadcast(train.agg(F.avg("log_return_7d").alias("prediction"))))  # one row
+
+
+def reversion(train: DataFrame, val: DataFrame) -> DataFrame:
+    """Back to the rolling mean; both are logarithms."""
+    return val.withColumn("prediction", F.col("rolling_mean_7d") - F.col("log_eur"))
+
+
+def autoregression(train: DataFrame, val: DataFrame) -> DataFrame:
+    """Least squares on the last day's return; a missing one counts as 0."""
+    x = F.coalesce("lag_1d_return", F.lit(0.0))
+    line = train.agg(F.regr_slope("log_return_7d", x).alias("__a"), F.regr_intercept("log_return_7d", x).alias("__b"), F.avg("log_return_7d").alias("__m"))
+    fit = F.coalesce(F.col("__a") * x + F.col("__b"), F.col("__m"))  # without any spread of x the mean
+    return val.crossJoin(F.broadcast(line)).withColumn("prediction", fit).drop("__a", "__b", "__m")  # one row
+
+
+def walk_forward(prices: DataFrame, cards: DataFrame, models: dict[str, Model], windows: list[tuple[date, date, date]] | None = None) -> DataFrame:
+    """(fold_idx, val_snapshot, model, tier, n_cards, mae, mape): each model fitted on the last snapshot of each fold's train window and
+    evaluated on the last of its validation window, by price tier. Folds without rows on either side are left out."""
+    days = sorted(r[0] for r in prices.select("snapshot_date").distinct().collect())  # one row a day of the history
+    out = []
+    for i, (_, split, end) in enumerate(windows or folds(days)):
+        train_day, val_day = max((d for d in days if d < split), default=None), max((d for d in days if split <= d < end), default=None)
+        if train_day is None or val_day is None:
+            continue
+        train, val = (training_frame(prices, cards, str(d)).where("log_return_7d IS NOT NULL") for d in (train_day, val_day))
+        if train.isEmpty() or val.isEmpty():
+            continue
+        for name, model in models.items():
+            scored = model(train, val).select(F.lit(name).alias("model"), tier(F.col("eur")).alias("tier"), F.col("log_return_7d").alias("y"), "prediction")
+            out.append(per_tier(scored).select(F.lit(i).alias("fold_idx"), F.lit(val_day).alias("val_snapshot"), "model", "tier", "n_cards", "mae", "mape"))
+    if not out:
+        return prices.sparkSession.createDataFrame([], "fold_idx int, val_snapshot date, model string, tier int, n_cards long, mae double, mape double")
+    return reduce(DataFrame.unionByName, out)
+
+
+def boosted_model(rounds: int = 1000) -> Model:
+    """The boosted trees by tier as a model to cross-validate."""
+
+    def run(train: DataFrame, val: DataFrame) -> DataFrame:
+        matrix = Features().fit(train)
+        return predict_by_tier(matrix.transform(val), by_tier(matrix.transform(train), "log_return_7d", rounds=rounds))
+
+    return run
+
+
+def importances(model: GBTRegressionModel, names: list[str]) -> list[tuple[str, float]]:
+    """Features by the share of the gain of all splits on them, the largest first; ties by name."""
+    return sorted(zip(names, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+
+
 def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
     """The round of least error before `patience` rounds without a lesser one, and whether those have been seen."""
     best = 0
@@ -107,7 +222,7 @@ def predict_by_tier(rows: DataFrame, models: dict, price: str = "eur") -> DataFr
     rest = marked.where(~F.col("tier").isin([0, *models])).withColumn("prediction", F.lit(None).cast("double"))
     out = rest.select(*marked.columns, "prediction")
     for p in parts:
-        out = out.union(p.select(*marked.columns, "prediction"))
+        out = out.unionByName(p.select(*marked.columns, "prediction"))
     return out
 
 
@@ -147,6 +262,14 @@ def tfidf(rows: DataFrame, key: str, text: str, terms: int = 500, least: int = 5
     return weighed.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
+def stacked(static: DataFrame, weights: DataFrame, key: str, columns: list[str], terms: list[str]) -> DataFrame:
+    """(key, vector): the static columns of each row, then its weights (key, term, weight) of the terms, 0 where it has none."""
+    held = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("__w"))  # at most `terms` of a key
+    of = F.array(*[F.coalesce(F.col("__w")[t], F.lit(0.0)) for t in terms]) if terms else F.array().cast("array<double>")
+    plain = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    return static.join(held, key, "left").select(key, F.concat(plain, of).alias("vector"))
+
+
 #: Rows and queries of a block: a task holds the scores of one pair of blocks.
 ROW_BLOCK, QUERY_BLOCK = 8192, 256
 
@@ -228,31 +351,37 @@ def underpriced(rows: DataFrame, actual: str = "eur", predicted: str = "predicte
     confidence = F.when(F.col(actual).isNotNull(), F.col(predicted) / F.greatest(F.col(actual), F.lit(0.01)))
     rows = rows.withColumns({"tier": tier(F.col(actual)), "confidence": confidence})
     flagged = F.coalesce(F.col("tier").isin(1, 2) & (F.col("confidence") > factor), F.lit(False))
-    return rows.withColumn("is_underpriced", flagged).withColumn("reason", F.when(F.col("is_underpriced"), reason(F.col("confidence"))))
+    rows = rows.withColumn("is_underpriced", flagged).withColumn("reason", F.when(F.col("is_underpriced"), reason(F.col("confidence"))))
+    return rows
 
 
-def backtest(prices: DataFrame, flagged: DataFrame, flag_day: str, check_day: str, rise: float = 0.1) -> DataFrame:
-    on = lambda d, n: prices.where(F.col("snapshot_date") == F.to_date(F.lit(d))).select("uuid", F.col("eur").alias(n))
-    rows = on(flag_day, "p0").join(on(check_day, "p1"), "uuid").join(flagged.select("uuid").distinct(), "uuid", "left_semi").withColumn("gain", ratio(F.col("p1"), F.col("p0")) - 1)
-    return rows.agg(F.count("gain").alias("n"), F.count(F.when(F.col("gain") > rise, 1)).alias("hits"), F.avg((F.col("gain") > rise).cast("int")).alias("hit_rate"), F.avg("gain").alias("mean_appreciation"))
+def underpriced_listing(rows: DataFrame, tiers: tuple[int, ...] = (1, 2), least: float = 1.3, actual: str = "eur") -> DataFrame:
+    """The underpriced rows with a price, of the tiers and at least that confident, the most confident first."""
+    found = underpriced(rows.where(F.col(actual).isNotNull())).where("is_underpriced").where(F.col("tier").isin(*tiers) & (F.col("confidence") >= least))
+    return found.orderBy(F.desc("confidence"), "uuid")
+
 
+def predictions(rows: DataFrame, actual: str = "eur", log_return: str = "prediction") -> DataFrame:
+    """rows with tier and predicted_eur: null without a price, for tier 3, or without a prediction."""
+    marked = rows.withColumn("tier", tier(F.col(actual)))
+    return marked.withColumn("predicted_eur", F.when(F.col("tier") < 3, inverse_log_return(F.col(actual), F.col(log_return))))
 
-# ---------------------------------------------------------------- monitoring
 
+def predict(rows: DataFrame, uuid: str) -> DataFrame:
+    return predictions(rows.where(F.col("uuid") == uuid))
 
-def rolling_mape(predictions: DataFrame, prices: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    recent = predictions.where(F.col("snapshot_date") >= F.date_sub(F.to_date(F.lit(as_of)), days))
-    actual = prices.select("uuid", F.date_sub("snapshot_date", 7).alias("snapshot_date"), F.col("eur").alias("actual"))
-    error = F.abs(F.col("predicted_eur") - F.col("actual")) / F.greatest(F.col("actual"), F.lit(0.01))
-    return recent.join(actual.where("actual IS NOT NULL"), ["uuid", "snapshot_date"]).groupBy("snapshot_date").agg((F.avg(error) * 100).alias("mape"))
 
+def predict_by_name(rows: DataFrame, name: str) -> DataFrame:
+    """The first match by uuid."""
+    return predictions(rows.where(F.col("name") == name).orderBy("uuid").limit(1))
 
-def mape_alert(mapes: DataFrame, threshold: float = 30.0, n: int = 3) -> bool:
-    worst_days = mapes.orderBy(F.desc("snapshot_date")).limit(n).agg(F.count("mape").alias("n"), F.min("mape").alias("least")).first()
-    return worst_days["n"] == n and worst_days["least"] > threshold
 
+def list_entities(cards: DataFrame) -> DataFrame:
+    """One row a uuid with a name, by name and set."""
+    return cards.where("name IS NOT NULL AND uuid IS NOT NULL").groupBy("uuid").agg(F.min_by(F.struct("name", "set_code"), F.struct("name", "set_code")).alias("x")).select("uuid", "x.name", "x.set_code").orderBy("name", "set_code", "uuid")
 
-def should_retrain(events: DataFrame, mapes: DataFrame, day: str) -> tuple[bool, str]:
-    if not events.where(F.col("event_date") == F.to_date(F.lit(day))).isEmpty():
-        return True, "event"
-    return (True, "mape") if mape_alert(mapes) else (False, "none")
+
+def backtest(prices: DataFrame, flagged: DataFrame, flag_day: str, check_day: str, rise: float = 0.1) -> DataFrame:
+    on = lambda d, n: prices.where(F.col("snapshot_date") == F.to_date(F.lit(d))).select("uuid", F.col("eur").alias(n))
+    rows = on(flag_day, "p0").join(on(check_day, "p1"), "uuid").join(flagged.select("uuid").distinct(), "uuid", "left_semi").withColumn("gain", ratio(F.col("p1"), F.col("p0")) - 1)
+    return rows.agg(F.count("gain").alias("n"), F.count(F.when(F.col("gain") > rise, 1)).alias("hits"), F.avg((F.col("gain") > rise).cast("int")).alias("hit_rate"), F.avg("gain").alias("mean_appreciation"))

@@ -4,12 +4,14 @@ from functools import partial
 
 from .dialect import run, to_duckdb
 from .frame_queries import FRAMES
-from .sql_queries import DUCKDB, SQL
+from .sql_queries import SQL
+from .tier_queries import TIERS
 
 
 def _sql(text, spark, sf_dir):
     return run(spark, sf_dir, text)
 
 
-QUERIES: dict = {name: partial(_sql, text) for name, text in SQL.items()} | {name: f for name, (f, _) in FRAMES.items()}
-ORACLES: dict = {name: to_duckdb(DUCKDB.get(name, text)) for name, text in SQL.items()} | {name: sql for name, (_, sql) in FRAMES.items() if sql}
+_BUILT = FRAMES | TIERS
+QUERIES: dict = {name: partial(_sql, text) for name, text in SQL.items()} | {name: f for name, (f, _) in _BUILT.items()}
+ORACLES: dict = {name: to_duckdb(text) for name, text in SQL.items()} | {name: sql for name, (_, sql) in _BUILT.items() if sql}

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gold, ml, silver
+from ..operators import gold, ml, monitor, silver
 from ..sources import extract
 from .dialect import run, to_duckdb
-from .sql_queries import PREDICTED, PRICES, STATUS
+from .sql_queries import PREDICTED, PRICES
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,60 +19,24 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
     return run(spark, d, f"WITH {PRICES} SELECT uuid, uuid AS scryfall_id, snapshot_date, eur FROM prices")
 
 
-def _meta(spark: SparkSession, d: str) -> DataFrame:
-    """Status history as legality maps: error is banned, view is legal."""
-    rows = run(spark, d, f"WITH {STATUS} SELECT * FROM status")
-    status = F.when(F.col("status") == "error", "banned").when(F.col("status") == "view", "legal").otherwise(F.col("status"))
-    return rows.select(F.col("uuid").alias("id"), "snapshot_date", F.create_map(F.lit("modern"), status, F.lit("legacy"), status).alias("legalities"), F.lit(None).cast("int").alias("edhrec_rank"))
-
-
-def price_features(spark: SparkSession, d: str) -> DataFrame:
-    out = gold.price_features(_prices(spark, d))
-    names = ["lag_1", "lag_7", "change_1d", "pct_change_1d", "all_time_high", "all_time_low", "days_with_price", "days_since_price", "price_rank", "is_price_spike"]
-    return out.select("uuid", "snapshot_date", "eur", *names, *[F.round(c, 9).alias(c) for c in ("avg_7d", "avg_30d", "std_30d")])
-
-
-PRICE_FEATURES = f"""WITH {PRICES}, l AS (SELECT *, lag(eur, 1) OVER w AS lag_1, lag(eur, 7) OVER w AS lag_7,
-  AVG(eur) OVER w7 AS a7, AVG(eur) OVER w30 AS a30, STDDEV_SAMP(eur) OVER w30 AS s30, MAX(eur) OVER wh AS all_time_high, MIN(eur) OVER wh AS all_time_low,
-  COUNT(eur) OVER wh AS days_with_price, MAX(CASE WHEN eur IS NOT NULL THEN snapshot_date END) OVER wh AS seen, rank() OVER (PARTITION BY snapshot_date ORDER BY eur DESC NULLS LAST) AS price_rank
-  FROM prices WINDOW w AS (PARTITION BY uuid ORDER BY snapshot_date), w7 AS (PARTITION BY uuid ORDER BY snapshot_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
-  w30 AS (PARTITION BY uuid ORDER BY snapshot_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), wh AS (PARTITION BY uuid ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT uuid, snapshot_date, eur, lag_1, lag_7, eur - lag_1 AS change_1d, (eur - lag_1) / NULLIF(lag_1, 0) AS pct_change_1d, all_time_high, all_time_low, days_with_price,
-  date_diff('day', seen, snapshot_date) AS days_since_price, price_rank, ABS((eur - lag_1) / NULLIF(lag_1, 0)) > 3.0 AS is_price_spike, ROUND(a7, 9) AS avg_7d, ROUND(a30, 9) AS avg_30d, ROUND(s30, 9) AS std_30d FROM l"""
-
-
-def events(spark: SparkSession, d: str) -> DataFrame:
-    return gold.events(_meta(spark, d))
-
-
-EVENTS_SQL = f"""WITH {STATUS}, l AS (SELECT *, lag(status) OVER (PARTITION BY uuid ORDER BY snapshot_date) AS prev FROM status),
-t AS (SELECT snapshot_date AS event_date, CASE WHEN status = 'error' THEN 'ban' ELSE 'unban' END AS event_type FROM l WHERE (prev = 'view' AND status = 'error') OR (prev = 'error' AND status = 'view'))
-SELECT event_date, format, event_type, COUNT(*) AS card_count FROM t CROSS JOIN (SELECT unnest(['modern', 'legacy']) AS format) f GROUP BY ALL"""
-
-
-def impact(spark: SparkSession, d: str) -> DataFrame:
-    out = gold.ban_price_impact(_meta(spark, d), _prices(spark, d))
-    return out.select("id", "format", "event_type", "event_date", *[F.round(c, 5).alias(c) for c in out.columns if c.startswith(("avg_", "impact_"))])
-
-
 def targets(spark: SparkSession, d: str) -> DataFrame:
     p = _prices(spark, d)
-    return gold.ml_dataset(p).select("uuid", "snapshot_date", "eur", "eur_7d", "eur_30d", "label")
+    return gold.ml_dataset(p).select("uuid", "snapshot_date", "eur", "target_price_7d", "target_price_30d", "target_change_30d")
 
 
-TARGETS = f"""WITH {PRICES} SELECT p.uuid, p.snapshot_date, p.eur, a.eur AS eur_7d, b.eur AS eur_30d,
-  CASE WHEN b.eur IS NULL THEN NULL WHEN b.eur > p.eur * 1.2 THEN 'up' WHEN b.eur < p.eur * 0.8 THEN 'down' ELSE 'flat' END AS label
+TARGETS = f"""WITH {PRICES} SELECT p.uuid, p.snapshot_date, p.eur, a.eur AS target_price_7d, b.eur AS target_price_30d,
+  CASE WHEN b.eur IS NULL THEN NULL WHEN b.eur > p.eur * 1.2 THEN 'up' WHEN b.eur < p.eur * 0.8 THEN 'down' ELSE 'flat' END AS target_change_30d
 FROM prices p LEFT JOIN prices a ON a.uuid = p.uuid AND a.snapshot_date = CAST(p.snapshot_date + INTERVAL 7 DAY AS DATE) LEFT JOIN prices b ON b.uuid = p.uuid AND b.snapshot_date = CAST(p.snapshot_date + INTERVAL 30 DAY AS DATE)"""
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
-    left = _t(spark, d, "customer").where("c_custkey >= 50").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    left = _t(spark, d, "customer").select((F.col("c_custkey") + 50).cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
     right = _t(spark, d, "supplier").select(F.concat(F.lit(" "), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
     return silver.merge(left, right, "id")
 
 
-MERGED = """SELECT COALESCE(c.c_custkey, s.s_suppkey)::VARCHAR AS id, COALESCE(c_name, s_name) AS name, COALESCE(c_nationkey, s_nationkey) AS nation, s_acctbal AS balance, c_custkey IS NOT NULL AS has_left
-FROM (SELECT * FROM customer WHERE c_custkey >= 50) c FULL OUTER JOIN supplier s ON c.c_custkey = s.s_suppkey"""
+MERGED = """SELECT COALESCE(c.c_custkey + 50, s.s_suppkey)::VARCHAR AS id, COALESCE(c_name, s_name) AS name, COALESCE(c_nationkey, s_nationkey) AS nation, s_acctbal AS balance, c_custkey IS NOT NULL AS has_left
+FROM customer c FULL OUTER JOIN supplier s ON c.c_custkey + 50 = s.s_suppkey"""
 
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +58,7 @@ UNDERPRICED = to_duckdb(f"WITH {PREDICTED} SELECT uuid, snapshot_date, CASE WHEN
 
 def rolling_mape(spark: SparkSession, d: str) -> DataFrame:
     p = run(spark, d, f"WITH {PREDICTED} SELECT uuid, snapshot_date, predicted_eur FROM predictions")
-    return ml.rolling_mape(p, _prices(spark, d), "2024-01-30", 20).withColumn("mape", F.round("mape", 6))
+    return monitor.rolling_mape(p, _prices(spark, d), "2024-01-30", 20).withColumn("mape", F.round("mape", 6))
 
 
 MAPE = to_duckdb(f"WITH {PREDICTED} SELECT snapshot_date, ROUND(AVG(ABS(predicted_eur - actual) / GREATEST(actual, 0.01)) * 100, 6) AS mape FROM scored WHERE snapshot_date >= DATE '2024-01-10' GROUP BY snapshot_date")
@@ -111,9 +75,10 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boosted(spark: SparkSession, d: str) -> DataFrame:
+    """The day's rows with a target, by tier."""
     p = _prices(spark, d)
-    rows = ml.lag_features(p, "2024-01-15").join(ml.target(p, "2024-01-15"), "uuid").where("lag_7d IS NOT NULL AND lag_14d IS NOT NULL OR lag_1d IS NOT NULL")
-    rows = ml.features(["lag_1d", "lag_7d", "roll_mean_7"], [], ["eur"]).fit(rows).transform(rows)
+    rows = ml.enrich_lags(ml.lag_features(p, "2024-01-15")).join(ml.target(p, "2024-01-15"), "uuid").where("log_return_7d IS NOT NULL")
+    rows = ml.Features([], [], ["eur", "lag_1d", "lag_7d", "rolling_mean_7d", "rolling_min_30d", "rolling_max_30d", "momentum_7d", "log_eur"]).fit(rows).transform(rows)
     models = ml.by_tier(rows, "log_return_7d")
     return ml.predict_by_tier(rows, models).select("uuid", "snapshot_date", "tier", F.col("prediction"))
 
@@ -125,45 +90,66 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 LINKS = """SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages"""
 
 
-def titles(spark: SparkSession, d: str) -> DataFrame:
-    return extract.titles(_t(spark, d, "pages"))
+def _page(*rows: list) -> Column:
+    """An HTML table of rows of cells, each a column or text."""
+    cell = lambda c: F.concat(F.lit("<td>"), c if isinstance(c, Column) else F.lit(c), F.lit("</td>"))
+    return F.concat(F.lit("<html><table>"), *[F.concat(F.lit('<tr class="hover_tr">'), *map(cell, cells), F.lit("</tr>")) for cells in rows], F.lit("</table></html>"))
+
+
+def staples_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page a part: its row, one with too few cells, and one whose share is no number."""
+    rows = _t(spark, d, "part")
+    name, size = F.concat(F.lit("<a href='x'>"), "p_name", F.lit("</a>")), F.col("p_size").cast("string")
+    html = _page([size, name, F.concat(size, F.lit(".5%")), F.concat(F.lit("1,"), F.lpad(size, 3, "0")), "x"], ["1", "short", "2%"], ["2", "bad", "?", "3", "x"])
+    return extract.staples(rows.select(F.col("p_partkey").alias("id"), html.alias("html")), "modern")
+
+
+STAPLES_PAGE = "SELECT p_name || '__modern' AS id, p_name AS card_name, 'modern' AS format, p_size + 0.5::DOUBLE AS deck_pct, p_size::INT AS percentage_in_decks, (1000 + p_size)::DOUBLE AS played, p_size::INT AS top FROM part"
+
+
+def tournaments_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page a day of orders would be long: a page an order, with its customer's event twice, and a row without a link."""
+    rows = _t(spark, d, "orders")
+    link = F.concat(F.lit('<a href="event?e='), F.col("o_custkey").cast("string"), F.lit('&f=MO">Cup '), F.col("o_orderkey").cast("string"), F.lit(" &amp; more</a>"))
+    day = F.date_format(F.to_date("o_orderdate"), "dd/MM/yy")
+    html = _page([link, day], [link, "01/01/01"], ["none", day])
+    return extract.tournaments(rows.select(F.col("o_orderkey").alias("id"), html.alias("html"))).select("id", "row", "tournament_id", "event_name", "tournament_date")
+
+
+TOURNAMENTS_PAGE = "SELECT o_orderkey AS id, 0 AS row, o_custkey::VARCHAR AS tournament_id, 'Cup ' || o_orderkey || ' & more' AS event_name, o_orderdate::DATE AS tournament_date FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1"
 
 
-def list_items(spark: SparkSession, d: str) -> DataFrame:
-    pages = _t(spark, d, "pages")
-    return pages.select("page_id", F.posexplode(extract.elements(F.col("html"), "li")).alias("item", "inner")).select("page_id", F.col("item").cast("int").alias("item"), F.regexp_replace("inner", "<[^>]*>", "").alias("text"))
+def decks_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "customer")
+    link = lambda i: F.concat(F.lit('<div class="hover_tr"><a href="event?e=1&d='), (F.col("c_custkey") * 20 + i).cast("string"), F.lit('">Deck</a></div>'))
+    return extract.decks(rows.select(F.col("c_custkey").alias("id"), F.concat(*[link(i) for i in (0, 1, 1, *range(2, 12))]).alias("html")))
 
 
-def corrupt(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "events").select("event_id", F.from_json("props", "k int, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    return rows.select("event_id", F.col("r.k").alias("k"), F.col("r._bad").isNotNull().alias("is_error"))
+DECKS_PAGE = "SELECT c_custkey AS id, (i + 1)::INT AS placement, (c_custkey * 20 + i)::VARCHAR AS deck_id FROM customer CROSS JOIN (SELECT unnest(range(8)) AS i)"
 
 
-def staples(spark: SparkSession, d: str) -> DataFrame:
-    rows = run(spark, d, "SELECT event_type AS id, CAST(ts AS DATE) AS snapshot_date, double(COUNT(*)) AS deck_pct FROM {events} GROUP BY event_type, CAST(ts AS DATE)")
-    return gold.format_staples(rows).select("id", "snapshot_date", "deck_pct", F.round("avg_7d", 6).alias("avg_7d"), F.round("avg_30d", 6).alias("avg_30d"), "change_7d")
+def decklist_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "part")
+    line = lambda board, n: F.concat(F.lit(f'<div class="deck_line" id="{board}'), F.col("p_partkey").cast("string"), F.lit('">'), n, F.lit(" <b>"), "p_name", F.lit("</b></div>"))
+    html = F.concat(line("md", F.col("p_size").cast("string")), line("sb", F.lit("2")), line("sb", F.lit("many")))
+    return extract.decklist(rows.select(F.col("p_partkey").alias("id"), html.alias("html")))
 
 
-STAPLES = """WITH s AS (SELECT event_type AS id, ts::DATE AS snapshot_date, COUNT(*)::DOUBLE AS deck_pct FROM events GROUP BY 1, 2)
-SELECT id, snapshot_date, deck_pct, ROUND(AVG(deck_pct) OVER w7, 6) AS avg_7d, ROUND(AVG(deck_pct) OVER w30, 6) AS avg_30d, deck_pct - lag(deck_pct, 7) OVER (PARTITION BY id ORDER BY snapshot_date) AS change_7d
-FROM s WINDOW w7 AS (PARTITION BY id ORDER BY snapshot_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY id ORDER BY snapshot_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""
+DECKLIST_PAGE = "SELECT p_partkey AS id, p_size::INT AS copies, p_name AS card_name, false AS is_sideboard FROM part UNION ALL SELECT p_partkey, 2, p_name, true FROM part"
 
 
 FRAMES = {
-    "wn01_price_features": (price_features, to_duckdb(PRICE_FEATURES)),
-    "wn12_events_builder": (events, to_duckdb(EVENTS_SQL)),
-    "ag16_ban_price_impact": (impact, None),
     "jn12_ml_dataset": (targets, to_duckdb(TARGETS)),
     "jn01_merge_builder": (merged, MERGED),
     "jn20_forward_fill_builder": (filled, FILLED),
-    "wn13_staples_builder": (staples, STAPLES),
     "ml24_underpriced_builder": (underpriced, UNDERPRICED),
     "mon02_rolling_mape": (rolling_mape, MAPE),
     "so07_similar": (similar, None),
     "ml21_tfidf": (tfidf, None),
     "ml12_boosted_by_tier": (boosted, None),
-    "src05_html_items": (list_items, None),
+    "src05_staples_page": (staples_page, STAPLES_PAGE),
+    "src06_tournaments_page": (tournaments_page, TOURNAMENTS_PAGE),
+    "src07_decks_page": (decks_page, DECKS_PAGE),
+    "src08_decklist_page": (decklist_page, DECKLIST_PAGE),
     "src06_html_links": (links, LINKS),
-    "src07_html_titles": (titles, None),
-    "src02_quarantine": (corrupt, "SELECT event_id, json_extract_string(props, '$.k')::INT AS k, false AS is_error FROM events"),
 }

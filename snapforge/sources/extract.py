@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions.expr import any_date
 
@@ -19,10 +20,31 @@ def price_points(feed: DataFrame) -> DataFrame:
     return rows.select("uuid", "retailer", "tx_type", "finish", F.explode("by_date").alias("date", "price")).withColumn("date", F.to_date("date"))
 
 
-def latest_points(points: DataFrame, day: str) -> DataFrame:
-    """The last price at or before the day of each combination; a null there is left out."""
-    rows = points.where(F.col("date") <= F.to_date(F.lit(day))).groupBy("uuid", "retailer", "tx_type", "finish").agg(F.max(F.struct("date", "price")).alias("x"))
-    return rows.select("uuid", F.to_date(F.lit(day)).alias("snapshot_date"), "retailer", "tx_type", "finish", F.col("x.price").alias("price")).where("price IS NOT NULL")
+_COMBO = ("uuid", "retailer", "tx_type", "finish")
+
+
+def latest_points(points: DataFrame, day: str, quarantine: bool = False) -> DataFrame:
+    """The last price at or before the day of each combination. A null there is an error, not a reason to look further back: the query
+    fails, or with quarantine the combination is left out (see broken_points)."""
+    rows = _winners(points, day)
+    if quarantine:
+        return rows.where("price IS NOT NULL")
+    return rows.withColumn("price", F.coalesce("price", F.raise_error(F.concat(F.lit("null price at the winning date of "), F.concat_ws("/", *_COMBO))).cast("double")))
+
+
+def broken_points(points: DataFrame, day: str) -> DataFrame:
+    """The combinations whose last price is null."""
+    return _winners(points, day).where("price IS NULL").drop("price")
+
+
+def _winners(points: DataFrame, day: str) -> DataFrame:
+    rows = points.where(F.col("date") <= F.to_date(F.lit(day))).groupBy(*_COMBO).agg(F.max(F.struct("date", "price")).alias("x"))
+    return rows.select("uuid", F.to_date(F.lit(day)).alias("snapshot_date"), "retailer", "tx_type", "finish", F.col("x.price").alias("price"))
+
+
+def seed_points(points: DataFrame) -> DataFrame:
+    """All dates' prices, without nulls."""
+    return points.where("price IS NOT NULL").select("uuid", F.col("date").alias("snapshot_date"), "retailer", "tx_type", "finish", "price")
 
 
 def _text(html: Column) -> Column:
@@ -50,10 +72,18 @@ def staples(pages: DataFrame, format_: str) -> DataFrame:
 
 
 def tournaments(pages: DataFrame) -> DataFrame:
-    """Event links (?e=number) with the date in the row's last cell."""
-    rows = pages.select(F.posexplode(elements(F.col("html"), "tr")).alias("row", "tr"))
-    rows = rows.select("row", F.regexp_extract("tr", "e=(\\d+)", 1).alias("tournament_id"), _text(F.get(elements(F.col("tr"), "a"), F.lit(0))).alias("event_name"), any_date(_text(F.element_at(elements(F.col("tr"), "td"), -1))).alias("tournament_date"))
-    return rows.where("tournament_id <> ''").dropDuplicates(["tournament_id"])
+    """Event links (?e=number) with the date in the row's last cell; of an event's rows the first, by page id and place."""
+    rows = pages.select("id", F.posexplode(elements(F.col("html"), "tr")).alias("row", "tr"))
+    rows = rows.select("id", "row", F.regexp_extract("tr", "e=(\\d+)", 1).alias("tournament_id"), _text(F.get(elements(F.col("tr"), "a"), F.lit(0))).alias("event_name"), any_date(_text(F.element_at(elements(F.col("tr"), "td"), -1))).alias("tournament_date"))
+    first = rows.where("tournament_id <> ''").groupBy("tournament_id").agg(F.min_by(F.struct("id", "row", "event_name", "tournament_date"), F.struct("id", "row")).alias("x"))
+    return first.select("x.id", "x.row", "tournament_id", "x.event_name", "x.tournament_date")
+
+
+def top_tournaments(found: DataFrame, most: int) -> DataFrame:
+    """(format, tournament_id, ...): of each format's page the first events; one that several formats list counts for the first format."""
+    once = W.Window.partitionBy("tournament_id").orderBy("format", "row")
+    rows = found.withColumn("n", F.row_number().over(once)).where("n = 1")
+    return rows.withColumn("n", F.row_number().over(W.Window.partitionBy("format").orderBy("row", "tournament_id"))).where(F.col("n") <= most).drop("n")
 
 
 def decks(pages: DataFrame, most: int = 8) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every catalogue query that has SQL gives DuckDB's rows on the smallest tables (a fixed subset here; the driver runs all)."""
+"""Every catalogue query that has SQL gives DuckDB's rows on the smallest tables, and those without run."""
 
 import math
 
@@ -9,7 +9,6 @@ from snapforge.plans import catalogue
 from snapforge.plans.dialect import TABLES, to_duckdb
 
 D = "/root/testdata/sf0.001"
-SUBSET = sorted(catalogue.ORACLES)[::9] + ["wn01_price_features", "jn03_null_aware_anti", "jn20_forward_fill_builder"]
 
 
 def shown(v):
@@ -24,7 +23,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", SUBSET)
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_rows(spark, duck, name):
     got = catalogue.QUERIES[name](spark, D)
     columns = sorted(got.columns)
@@ -35,6 +34,11 @@ def test_rows(spark, duck, name):
     assert sorted(names) == columns and rows == want
 
 
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - {"ml12_boosted_by_tier"}))
+def test_runs(spark, name):
+    assert catalogue.QUERIES[name](spark, D).count() > 0 or name in {"sta07_stationarity", "sta11_structural_breaks"}  # these need 20 days of a key
+
+
 def test_rewriting():
     assert to_duckdb("datediff(a, date_add(b, 7))") == "date_diff('day', CAST(b + INTERVAL (7) DAY AS DATE), a)"
     assert to_duckdb("size(filter(x, y -> y = ','))") == "CAST(len(list_filter(x, lambda y: y = ',')) AS INT)"
