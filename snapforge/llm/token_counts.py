@@ -3,7 +3,7 @@
 A text's key is the digest of its normalised content beside the digest of the tokenizer's file. Keys are joined to the stored
 counts; only the distinct keys without one are encoded, and their counts are appended to the cache, a Parquet folder.
 
-Null texts count as empty. Equal texts are encoded once. Columns besides `id_col` and `text_col` are not read, so clashing names
+Null texts count as empty. Equal texts are encoded once, repeated rows of one id too. Very long texts are encoded whole. Columns besides `id_col` and `text_col` are not read, so clashing names
 don't matter. An empty table gives no rows.
 """
 
@@ -15,12 +15,13 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, slices, table
+from .common import fresh_path, frugal, slices, table
 
 #: Texts of these characters only are split alike by both libraries; all others go to `tokenizers`.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*\Z")
@@ -94,18 +95,27 @@ def count_tokens(docs: DataFrame, cache: str, *, tokenizer: str, normalise: Call
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("digest", F.sha2("text", 256))
     kept = T.StructType([T.StructField("version", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("n_tokens", T.LongType())])
     stored = _stored(spark, cache, kept).where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    first = keyed.groupBy("digest").agg(F.min_by("doc_id", "doc_id").alias("rep"), F.count("doc_id").alias("with_id")).join(stored, "digest", "left_anti")
-    first = first.select("digest", F.when(F.col("with_id") > 0, F.col("rep")).alias("rep"))
-    # null ids: a digest that only rows without an id have is matched null-safely; repeated (id, text) rows are encoded together
-    misses = keyed.join(first.hint("shuffle_hash"), (keyed["digest"] == first["digest"]) & keyed["doc_id"].eqNullSafe(first["rep"]), "left_semi")
+    first = keyed.groupBy("digest").agg(F.min_by("doc_id", "doc_id").alias("rep"), F.count("doc_id").alias("with_id"), (F.count(F.lit(1)) > 1).alias("several")).join(stored, "digest", "left_anti")
+    first = first.select(F.col("digest").alias("own"), F.when(F.col("with_id") > 0, F.col("rep")).alias("rep"), "several")
+    # null ids: a digest that only rows without an id have is matched null-safely
+    misses = keyed.join(first.hint("shuffle_hash"), (keyed["digest"] == first["own"]) & keyed["doc_id"].eqNullSafe(first["rep"]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
+        seen: set[str] = set()  # repeated rows of one id and text lie in one task
         for batch in batches:
             for part in slices(batch, "text"):
+                several = np.asarray(part.column("several"))
+                if several.any():
+                    fresh = ~several
+                    for i in np.flatnonzero(several).tolist():
+                        if (key := part.column("digest")[i].as_py()) not in seen:
+                            seen.add(key)
+                            fresh[i] = True
+                    part = part.filter(pa.array(fresh))
                 yield pa.record_batch([pa.array([version] * len(part)), part.column("digest"), pa.array(count(part.column("text").to_pylist()), pa.int64())], names=["version", "digest", "n_tokens"])
 
-    misses.select("digest", "text").mapInArrow(encode, kept).write.mode("append").parquet(cache)
+    misses.select("digest", "text", "several").mapInArrow(frugal(encode), kept).write.mode("append").parquet(cache)
     counts = _stored(spark, cache, kept).where(F.col("version") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     sizes = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
