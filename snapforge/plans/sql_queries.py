@@ -147,6 +147,7 @@ SQL: dict[str, str] = {
     "mth03_inverse": f"WITH {PRICES} SELECT uuid, snapshot_date, ROUND(EXP(LN(1 + eur) + 0.05) - 1, 6) AS predicted FROM prices",
     "mth04_log10": "SELECT o_orderkey, ROUND(log10(o_totalprice + 0.01), 7) AS x FROM {orders}",
     "mth05_greatest": "SELECT c_custkey, GREATEST(ABS(c_acctbal), 0.01) AS x FROM {customer}",
+    "mth06_clip": "SELECT c_custkey, GREATEST(c_acctbal, 0.0) AS floored, LEAST(GREATEST(c_acctbal, 0.0), 5000.0) AS clipped FROM {customer}",
     "mth07_bool_sum": "SELECT event_id, CAST(event_type = 'view' AS INT) + CAST(value > 10 AS INT) + CAST(value > 50 AS INT) AS flags FROM {events}",
     "mth08_thresholds": f"WITH {PRICES}, l AS (SELECT *, lag(eur) OVER (PARTITION BY uuid ORDER BY snapshot_date) AS p FROM prices) SELECT uuid, snapshot_date, eur > p * 1.2 AS up, eur < p * 0.8 AS down, ABS((eur - p) / NULLIF(p, 0)) > 3.0 AS spike FROM l",
     "mth09_round": "SELECT l_returnflag, ROUND(double(SUM(CAST(l_quantity AS DECIMAL(18,2)))) / COUNT(*), 4) AS q FROM {lineitem} GROUP BY l_returnflag",
@@ -170,7 +171,6 @@ SQL: dict[str, str] = {
     "ml09_folds": f"WITH {PRICES}, d AS (SELECT DISTINCT snapshot_date AS d FROM prices), b AS (SELECT MIN(d) AS lo, MAX(d) AS hi FROM d), k AS (SELECT explode(sequence(0, 2)) AS fold) SELECT CAST(fold AS INT) AS fold, MAX(CASE WHEN datediff(d.d, lo) < 10 + fold * 5 THEN d.d END) AS train_snapshot, MAX(CASE WHEN datediff(d.d, lo) < 15 + fold * 5 THEN d.d END) AS val_snapshot FROM d CROSS JOIN b CROSS JOIN k GROUP BY fold",
     "ml11_baselines": f"WITH {PREDICTED}, y AS (SELECT LN(1 + actual) - LN(1 + eur) AS y, LN(1 + predicted_eur) - LN(1 + eur) AS r FROM scored) SELECT ROUND(AVG(ABS(y)), 6) AS zero_mae, ROUND(AVG(ABS(y - r)), 6) AS reversion_mae, ROUND(regr_slope(y, r), 6) AS slope, ROUND(regr_intercept(y, r), 6) AS intercept FROM y",
     "ml14_mae_mape": f"WITH {PREDICTED} SELECT ROUND(AVG(ABS(predicted_eur - actual)), 6) AS mae, ROUND(AVG(ABS(predicted_eur - actual) / GREATEST(ABS(actual), 0.01)) * 100, 6) AS mape FROM scored",
-    "ml18_residuals": f"WITH {PREDICTED} SELECT uuid, snapshot_date, predicted_eur, actual - predicted_eur AS residual FROM scored",
     "ml24_underpriced": f"WITH {PREDICTED} SELECT uuid, snapshot_date, {TIER} AS tier, predicted_eur / GREATEST(eur, 0.01) AS confidence, {TIER} IN (1, 2) AND predicted_eur / GREATEST(eur, 0.01) > 1.3 AS is_underpriced FROM predictions",
     "ml25_underpriced_query": f"WITH {PREDICTED} SELECT uuid, snapshot_date, predicted_eur / GREATEST(eur, 0.01) AS confidence FROM predictions WHERE eur IS NOT NULL AND {TIER} IN (1, 2) AND predicted_eur / GREATEST(eur, 0.01) > 1.5",
     "ml26_backtest": f"WITH {PREDICTED}, flagged AS (SELECT uuid, snapshot_date, eur FROM predictions WHERE predicted_eur / GREATEST(eur, 0.01) > 1.3) SELECT COUNT(*) AS n, bigint(SUM(CASE WHEN p.eur / NULLIF(f.eur, 0) - 1 > 0.1 THEN 1 ELSE 0 END)) AS hits, ROUND(AVG(p.eur / NULLIF(f.eur, 0) - 1), 6) AS mean_gain FROM flagged f JOIN prices p ON p.uuid = f.uuid AND p.snapshot_date = date_add(f.snapshot_date, 7)",
