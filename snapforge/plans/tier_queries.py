@@ -225,13 +225,13 @@ EVENTS = f"{_BEFORE} SELECT event_date, format, event_type, COUNT(*) AS card_cou
 
 def impact(spark: SparkSession, d: str) -> DataFrame:
     out = gold.ban_price_impact(feed(spark, d, "meta_in"), feed(spark, d, "prices_in"))
-    return _rounded(out, 6, *[c for c in out.columns if c.startswith("price_")])
+    return _rounded(out, 9, *[c for c in out.columns if c.startswith("price_")])
 
 
 _MEAN = "(SELECT AVG(eur) FROM prices_in p WHERE p.scryfall_id = t.id AND p.snapshot_date BETWEEN t.event_date + INTERVAL ({}) DAY AND t.event_date + INTERVAL ({}) DAY)"
 IMPACT = f"""{_BEFORE}, m AS (SELECT id AS scryfall_id, format, event_type, event_date, {_MEAN.format(-30, -1)} AS b30, {_MEAN.format(-7, -1)} AS b7, {_MEAN.format(0, 0)} AS at0, {_MEAN.format(1, 7)} AS a7, {_MEAN.format(1, 30)} AS a30 FROM turns t)
-SELECT scryfall_id, format, event_type, event_date, ROUND(b30, 6) AS price_30d_before, ROUND(b7, 6) AS price_7d_before, ROUND(at0, 6) AS price_at_event, ROUND(a7, 6) AS price_7d_after, ROUND(a30, 6) AS price_30d_after,
-  ROUND((a7 - b7) / NULLIF(b7, 0), 6) AS price_change_7d_pct, ROUND((a30 - b30) / NULLIF(b30, 0), 6) AS price_change_30d_pct FROM m"""
+SELECT scryfall_id, format, event_type, event_date, ROUND(b30, 9) AS price_30d_before, ROUND(b7, 9) AS price_7d_before, ROUND(at0, 9) AS price_at_event, ROUND(a7, 9) AS price_7d_after, ROUND(a30, 9) AS price_30d_after,
+  ROUND((a7 - b7) / NULLIF(b7, 0), 9) AS price_change_7d_pct, ROUND((a30 - b30) / NULLIF(b30, 0), 9) AS price_change_30d_pct FROM m"""
 
 AS_OF = "2001-12-31"
 
@@ -266,7 +266,7 @@ def dataset(spark: SparkSession, d: str) -> DataFrame:
 DATASET = f"""{MERGED},
 cf AS (SELECT *, CASE WHEN oracle_id IS NULL THEN 1 ELSE COUNT(*) OVER (PARTITION BY oracle_id) END AS print_count FROM merged WHERE uuid IS NOT NULL),
 {_BEFORE[5:]},
-dm AS (SELECT id, snapshot_date, COALESCE(bool_or(prev = 'legal' AND now = 'banned') FILTER (format = 'modern'), false) AS modern_banned, MAX(edhrec_rank - prev_rank)::DOUBLE AS edhrec_rank_change FROM s GROUP BY id, snapshot_date),
+dm AS (SELECT id, snapshot_date, COALESCE(bool_or(prev = 'legal' AND now = 'banned') FILTER (format = 'modern'), false) AS modern_banned, MAX(edhrec_rank - prev_rank) AS edhrec_rank_change FROM s GROUP BY id, snapshot_date),
 tr AS (SELECT oracle_id, SUM(a)::BIGINT AS t30, SUM(b)::BIGINT AS t90, AVG(c) AS cp FROM (SELECT oracle_id, format, COUNT(DISTINCT tournament_id) FILTER (date_diff('day', tournament_date, DATE '{AS_OF}') <= 30 AND NOT is_sideboard) AS a,
   COUNT(DISTINCT tournament_id) FILTER (date_diff('day', tournament_date, DATE '{AS_OF}') <= 90 AND NOT is_sideboard) AS b, AVG(copies::DOUBLE) FILTER (NOT is_sideboard) AS c FROM results_in WHERE oracle_id IS NOT NULL GROUP BY oracle_id, format) z GROUP BY oracle_id)
 SELECT p.uuid, p.scryfall_id, p.snapshot_date, p.eur, a.eur AS target_price_7d, b.eur AS target_price_30d, CASE WHEN b.eur IS NULL THEN NULL WHEN b.eur > p.eur * 1.2 THEN 'up' WHEN b.eur < p.eur * 0.8 THEN 'down' ELSE 'flat' END AS target_change_30d,
