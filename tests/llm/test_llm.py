@@ -292,6 +292,23 @@ def test_near_duplicate_vectors(spark):
     assert multi_index.near_duplicates(rows.where("false")).count() == 0
 
 
+def test_links_at_the_threshold(spark):
+    """Cosines of 27/30, 54/60, and of any two of ten equal components of eleven, are 0.9; 26/30 is below it."""
+    exact = [[3, 4, 1, 2, 0], [3, 4, 2, 0, 1], [2, 5, 2, 4, 0], [5, 5, 4, 5, 3], [3, 4, 1, 0, 2]]
+    rows = [(i, [float(c) for c in [0] * 5 * (i // 2) + v] + [0.0] * (10 - 5 * (i // 2))) for i, v in enumerate(exact[:4])]
+    ten = np.zeros((40, 24))
+    rng = np.random.default_rng(1)
+    for row in ten:
+        row[rng.permutation(11)[:10]] = 0.1
+    for table, links in ((rows, [1] * 4), (list(enumerate(ten.tolist())), [39] * 40)):
+        got = multi_index.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+        assert [r.n_links for r in got] == links
+    x = multi_index.scaled(np.array(exact, float)).T
+    assert multi_index.meets(0.9, x, x, np.array([0, 2, 0]), np.array([1, 3, 4])).tolist() == [True, True, False]
+    far = multi_index.scaled(np.array([[1e300, 1e300], [1e-310, 0.0]]))
+    assert np.isfinite(far).all() and (np.abs(far).max(1) >= 0.5).all()
+
+
 def test_nearest(spark):
     x, rows = vectors(spark)
     got: dict = {}
