@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -248,18 +249,155 @@ def error_by_group(rows: DataFrame, group: str, y: str, p: str) -> DataFrame:
 # ---------------------------------------------------------------- recommendation
 
 
+#: Bytes of text whose words a task counts at once; a longer text goes alone.
+TEXT_SLICE = 4 << 20
+_WORD = np.zeros(256, bool)
+_WORD[[*b"abcdefghijklmnopqrstuvwxyz0123456789_"]] = True
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of lower-case texts, runs of ASCII letters, digits and underscores, and of each the place of its text."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+    z = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at, inside, edge = at - at[0], _WORD[z], np.zeros(len(z) + 1, bool)
+    edge[at] = True
+    out = np.concatenate([[True], ~inside, [True]])  # what lies outside words, from the byte before the first one
+    begin, end = np.flatnonzero(inside & (out[:-2] | edge[:-1])), np.flatnonzero(inside & (out[2:] | edge[1:])) + 1
+    place = np.concatenate([[0], np.cumsum(end - begin)])
+    words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(place), pa.py_buffer(z[inside]))
+    return words, np.searchsorted(at, begin, side="right") - 1
+
+
+def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with a text in the last column, cut to about TEXT_SLICE bytes of it."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_SLICE, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
+class _Counter:
+    """Counts the words of texts, each text a document: two characters at least, no stop words."""
+
+    def __init__(self, stop: list[str]) -> None:
+        self.stop = stop
+
+    def _pairs(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(dictionary, document, code, n): of each document its distinct words."""
+        words, doc = _words(texts)
+        coded = words.dictionary_encode()
+        known, size = coded.dictionary, max(1, len(coded.dictionary))
+        keep = pc.and_(pc.greater_equal(pc.binary_length(known), 2), pc.invert(pc.is_in(known, pa.array(self.stop, known.type)))).to_numpy(zero_copy_only=False)
+        code = coded.indices.to_numpy()
+        kept = keep[code] if len(code) else np.zeros(0, bool)
+        pair, n = np.unique(doc[kept] * size + code[kept], return_counts=True)
+        return known, pair // size, pair % size, n
+
+    def totals(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text_slices(batches):
+            known, _, code, n = self._pairs(b.column(0))
+            total, df = np.bincount(code, n, len(known)).astype(np.int64), np.bincount(code, minlength=len(known))
+            got = np.flatnonzero(df)
+            yield pa.record_batch([known.take(pa.array(got)).cast(pa.string()), pa.array(total[got]), pa.array(df[got])], names=["term", "total", "df"])
+
+    def by_document(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text_slices(batches):
+            known, doc, code, n = self._pairs(b.column(1))
+            yield pa.record_batch([b.column(0).take(pa.array(doc)), known.take(pa.array(code)).cast(pa.string()), pa.array(n)], names=["key", "term", "n"])
+
+
+@dataclass
+class Weights:
+    """The weights of a table's most frequent terms, in their order."""
+
+    terms: list[str]
+    idf: list[float]
+
+    def matrix(self, texts: pa.Array) -> np.ndarray:
+        """Of each text its terms' weights: sublinear tf times idf, of length 1."""
+        words, doc = _words(texts)
+        code = pc.index_in(words, pa.array(self.terms, words.type)).fill_null(-1).to_numpy()
+        n = np.bincount(doc[code >= 0] * len(self.terms) + code[code >= 0], minlength=len(texts) * len(self.terms)).reshape(len(texts), -1)
+        w = np.where(n > 0, (1 + np.log(np.maximum(n, 1))) * self.idf, 0.0)
+        norm = np.sqrt((w * w).sum(axis=1, keepdims=True))
+        return w / np.where(norm > 0, norm, 1.0)
+
+    def long(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.array(self.terms, pa.string())
+        for b in _text_slices(batches):
+            w = self.matrix(b.column(1))
+            doc, code = np.nonzero(w)
+            yield pa.record_batch([b.column(0).take(pa.array(doc)), terms.take(pa.array(code)), pa.array(w[doc, code])], names=["key", "term", "weight"])
+
+    def beside(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text_slices(batches):
+            w = self.matrix(b.column(2)) if self.terms else np.zeros((b.num_rows, 0))
+            x = np.hstack([np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1), w])
+            at = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * x.shape[1], pa.int32())
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["key", "vector"])
+
+
+class _Texts:
+    """A table's documents, all rows of one key being one: rows whose key is theirs alone are counted where they lie, and only the rows
+    of shared or null keys are brought together."""
+
+    def __init__(self, rows: DataFrame, key: str, text: str) -> None:
+        self.key, self.kind = key, rows.schema[key].dataType.simpleString()
+        self.rows, self.text = rows, F.lower(F.coalesce(F.col(text), F.lit("")))
+        shared = rows.groupBy(F.col(key).alias("__key")).count().where("count > 1 OR __key IS NULL").select("__key")
+        self.alone, self.together = rows, None
+        if not shared.isEmpty():
+            on = F.col(key).eqNullSafe(F.col("__key"))
+            self.alone, self.together = rows.join(shared, on, "left_anti"), rows.join(shared, on, "left_semi")
+
+    def _together(self, counter: _Counter) -> DataFrame:
+        """(key, term, n) of the shared keys."""
+        counted = self.together.select(self.key, self.text.alias("__text")).mapInArrow(counter.by_document, f"key {self.kind}, term string, n long")
+        return counted.groupBy("key", "term").agg(F.sum("n").alias("n"))
+
+    def fit(self, terms: int, least: int) -> Weights:
+        self.counter = _Counter(StopWordsRemover.loadDefaultStopWords("english"))
+        counted = self.alone.select(self.text.alias("__text")).mapInArrow(self.counter.totals, "term string, total long, df long")
+        if self.together is not None:
+            counted = counted.unionByName(self._together(self.counter).groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")))
+        summed = counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).where(F.col("df") >= least)
+        top = sorted(summed.orderBy(F.desc("total"), "term").limit(terms).collect())  # `terms` rows
+        docs = self.rows.count() if top else 0
+        return Weights([r["term"] for r in top], [float(np.log((1 + docs) / (1 + r["df"])) + 1) for r in top])
+
+    def shared_weights(self, fitted: Weights) -> DataFrame:
+        """(key, term, weight) of the shared keys."""
+        idf = F.element_at(F.create_map(*[F.lit(x) for pair in zip(fitted.terms, fitted.idf) for x in pair]), F.col("term"))
+        weighed = self._together(self.counter).where(F.col("term").isin(fitted.terms)).withColumn("w", (1 + F.log("n")) * idf)
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.Window.partitionBy("key")))
+        return weighed.select(F.col("key").alias(self.key), "term", (F.col("w") / norm).alias("weight"))
+
+
 def tfidf(rows: DataFrame, key: str, text: str, terms: int = 500, least: int = 5) -> DataFrame:
     """(key, term, weight): sublinear tf times smoothed idf, each document's weights of length 1; the most frequent terms only."""
-    tokens = RegexTokenizer(inputCol="__text", outputCol="__all", pattern="\\W+", minTokenLength=2)
-    words = StopWordsRemover(inputCol="__all", outputCol="__words")
-    docs = words.transform(tokens.transform(rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"))))
-    tf = docs.select(key, F.explode("__words").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    n = rows.agg(F.count(F.lit(1)).alias("docs"))
-    top = tf.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= least).orderBy(F.desc("total"), "term").limit(terms)
-    weighed = tf.join(F.broadcast(top), "term").crossJoin(F.broadcast(n))  # `terms` rows, and one row
-    weighed = weighed.withColumn("w", (1 + F.log("n")) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.Window.partitionBy(key)))
-    return weighed.select(key, "term", (F.col("w") / norm).alias("weight"))
+    texts = _Texts(rows, key, text)
+    fitted = texts.fit(terms, least)
+    if not fitted.terms:
+        return rows.where("false").select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight"))
+    out = texts.alone.select(key, texts.text.alias("__text")).mapInArrow(fitted.long, f"key {texts.kind}, term string, weight double").withColumnRenamed("key", key)
+    return out if texts.together is None else out.unionByName(texts.shared_weights(fitted))
+
+
+def text_beside(rows: DataFrame, key: str, text: str, columns: list[str], terms: int = 500, least: int = 5) -> DataFrame:
+    """(key, vector): stacked of the rows' own columns and their texts' weights, whose terms come in their order."""
+    texts = _Texts(rows, key, text)
+    fitted = texts.fit(terms, least)
+    plain = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).cast("array<double>")
+    out = texts.alone.select(key, plain.alias("__plain"), texts.text.alias("__text")).mapInArrow(fitted.beside, f"key {texts.kind}, vector array<double>").withColumnRenamed("key", key)
+    if texts.together is None:
+        return out
+    weights = texts.shared_weights(fitted) if fitted.terms else rows.where("false").select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight"))
+    return out.unionByName(stacked(texts.together, weights, key, columns, fitted.terms))
 
 
 def stacked(static: DataFrame, weights: DataFrame, key: str, columns: list[str], terms: list[str]) -> DataFrame:

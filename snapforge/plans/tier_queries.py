@@ -595,9 +595,7 @@ FROM p JOIN merged m ON m.uuid = p.uuid LEFT JOIN p a ON a.uuid = p.uuid AND a.n
 def text_and_static(spark: SparkSession, d: str) -> DataFrame:
     """The text's weights of the most frequent terms beside the text's length; shown is each vector's length and sum."""
     docs = run(spark, d, "SELECT doc_id, text, n_chars FROM {documents}")
-    weights = ml.tfidf(docs, "doc_id", "text", terms=50)
-    terms = sorted(r[0] for r in weights.select("term").distinct().collect())  # at most 50
-    out = ml.stacked(docs, weights, "doc_id", ["n_chars"], terms)
+    out = ml.text_beside(docs, "doc_id", "text", ["n_chars"], terms=50)
     return out.select("doc_id", F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 

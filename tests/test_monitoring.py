@@ -2,13 +2,17 @@
 
 import json
 import math
+import re
+from collections import Counter
 from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from snapforge.operators import gold, ml, monitor, silver
+from snapforge.plans.tier_queries import TIERS
 
 D = date(2024, 1, 1)
 
@@ -137,6 +141,40 @@ def test_text_vectors(spark):
     assert rows[0] == pytest.approx([1.5, 0.0, a["apple"] / norm, 0.0]) and rows[11] == [0.0, 2.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("size", [1 << 22, 40])
+def test_weights_of_odd_texts_are_plain(spark, monkeypatch, size):
+    """Keys that rows share or that are null, texts null, empty, long, not ASCII, against plain Python."""
+    monkeypatch.setattr(ml, "TEXT_SLICE", size)
+    texts = ["Apple apple_1 x The apple", None, "", "\u212Aiwi kiwi na\u00efve \u0130con", "a b the", "apple" * 3000 + " kiwi", "don't 12 12", " kiwi\tapple\n", "icon kiwi apple 12", "na ve 12 \U0001F600apple"]
+    keys = [0, 1, 2, 3, 4, 5, 0, None, None, 0]
+    rows = spark.createDataFrame(list(zip(keys, texts, range(10))), "k int, t string, n int").repartition(3)
+    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    docs: dict = {}
+    for k, t in zip(keys, texts):
+        docs.setdefault(k, Counter()).update(w for w in re.findall("[a-z0-9_]+", (t or "").lower()) if len(w) > 1 and w not in stop)
+    total, df = sum(docs.values(), Counter()), Counter(w for d in docs.values() for w in d)
+    top = sorted(sorted((w for w in total if df[w] >= 2), key=lambda w: (-total[w], w))[:3])
+    want = {}
+    for k, d in docs.items():
+        w = {t: (1 + math.log(d[t])) * (math.log(11 / (1 + df[t])) + 1) for t in top if d[t]}
+        want[k] = {t: v / math.sqrt(sum(x * x for x in w.values())) for t, v in w.items()}
+    got: dict = {k: {} for k in docs}
+    for r in ml.tfidf(rows, "k", "t", 3, 2).collect():
+        assert r.term not in got[r.k]
+        got[r.k][r.term] = r.weight
+    assert top == ["12", "apple", "kiwi"] and {k: pytest.approx(v) for k, v in want.items()} == got
+    beside = sorted((r.vector for r in ml.text_beside(rows, "k", "t", ["n"], 3, 2).collect()), key=lambda v: v[0])
+    # a null key matches nothing, as in stacked
+    assert len(beside) == 10 and all(v == pytest.approx([float(i), *[want[k].get(t, 0.0) if k is not None else 0.0 for t in top]]) for i, (k, v) in enumerate(zip(keys, beside)))
+    assert ml.tfidf(rows, "k", "t", 3, 100).count() == 0 and {len(r.vector) for r in ml.text_beside(rows, "k", "t", ["n"], 3, 100).collect()} == {1}
+    assert ml.tfidf(rows.where("false"), "k", "t").count() == 0 and ml.text_beside(rows.where("false"), "k", "t", []).count() == 0
+
+
+def test_texts_of_own_keys_are_not_moved(spark):
+    plan = TIERS["ml22_text_and_static"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Window", "Generate"))
+
+
 def test_lookups(spark):
     rows = spark.createDataFrame([("u1", "A", 50.0, 0.1, "s"), ("u2", "A", 2000.0, 0.1, "t"), ("u3", None, 10.0, None, "s"), ("u0", "B", None, 0.2, "s")], "uuid string, name string, eur double, prediction double, set_code string")
     assert ml.predict(rows, "u1").first().predicted_eur == pytest.approx(math.expm1(math.log1p(50) + 0.1)) and ml.predict(rows, "u2").first().predicted_eur is None
