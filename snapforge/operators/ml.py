@@ -439,7 +439,7 @@ def _blocks(rows: DataFrame, key: str, size: int, names: tuple[str, str]) -> Dat
 
 
 def _nearest(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each pair of blocks and each query the k rows of highest score; of equal scores those of least key."""
+    """Of each pair of blocks and each query the k vectors of highest score; of equal scores those of least key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -449,40 +449,49 @@ def _nearest(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 keys = keys.take(order)
                 z = z.to_numpy(zero_copy_only=False).reshape(len(keys), -1)[order.to_numpy()]
                 q = q.to_numpy(zero_copy_only=False).reshape(len(asked), -1)
-                place = pc.index_in(asked, keys).to_numpy(zero_copy_only=False) if len(keys) else np.zeros(0)
                 score = np.zeros((len(asked), len(keys)))
                 for c in range(z.shape[1]):  # summed in the columns' order, so that scores don't depend on the blocks
                     score += q[:, c, None] * z[None, :, c]
-                for j in np.flatnonzero(~np.isnan(place.astype(float))):  # a query isn't its own neighbour
-                    first = int(place[j])
-                    while first < len(keys) and keys[first] == asked[int(j)]:
-                        score[j, first] = -np.inf
-                        first += 1
                 least = np.partition(score, len(keys) - k, axis=1)[:, len(keys) - k, None] if len(keys) > k else np.full((len(asked), 1), -np.inf)
-                a, b = np.nonzero((score >= least) & (score > -np.inf))
+                a, b = np.nonzero(score >= least)
                 by = np.lexsort((b, -score[a, b], a))
                 a, b = a[by], b[by]
                 top = np.arange(len(a)) - np.searchsorted(a, a) < k
                 a, b = a[top], b[top]
-                yield pa.record_batch([asked.take(pa.array(a)), keys.take(pa.array(b)), pa.array(score[a, b])], names=["query", "key", "similarity_score"])
+                at = pa.array(np.arange(len(a) + 1, dtype=np.int32) * z.shape[1], pa.int32())
+                yield pa.record_batch([pa.ListArray.from_arrays(at, pa.array(q[a].ravel())), pa.ListArray.from_arrays(at, pa.array(z[b].ravel())), keys.take(pa.array(b)), pa.array(score[a, b])], names=["q", "z", "key", "score"])
 
     return run
 
 
 def similar(rows: DataFrame, key: str, columns: list[str], queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k most cosine-similar rows of each query row, by population z-scores; null counts as the mean. Exact: each block of rows
-    is compared with each block of queries, and only a block's k best of each query are written."""
+    """The k most cosine-similar rows of each query row, by population z-scores; null counts as the mean. Exact: each block of different
+    vectors is compared with each block of different query vectors, and only a block's best of each query are written. Rows of equal
+    vectors have equal scores, so that the k + 1 least keys of a vector, one of which may be the query's, are all that can be found."""
     stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
     z = F.array(*[F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0)) for c in columns])
-    scaled = rows.where(F.col(key).isNotNull()).crossJoin(F.broadcast(stats)).select(F.col(key), z.alias("z"))  # one row of statistics
+    scaled = rows.where(F.col(key).isNotNull()).crossJoin(F.broadcast(stats)).select(F.col(key).alias("key"), z.alias("z"))  # one row of statistics
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scaled = scaled.withColumn("z", F.transform("z", lambda x: x / F.coalesce(F.nullif(F.sqrt(dot(F.col("z"), F.col("z"))), F.lit(0.0)), F.lit(1.0))))
-    asked = scaled.join(queries.select(key), key, "left_semi")
+    asked = scaled.join(queries.select(F.col(key).alias("key")), "key", "left_semi")
     kind, tasks = rows.schema[key].dataType.simpleString(), rows.sparkSession.sparkContext.defaultParallelism
-    pairs = _blocks(scaled.repartition(tasks), key, ROW_BLOCK, ("k", "z")).crossJoin(_blocks(asked.repartition(tasks), key, QUERY_BLOCK, ("asked", "q")))
-    near = pairs.mapInArrow(_nearest(k), f"query {kind}, key {kind}, similarity_score double").withColumnRenamed("key", key)
-    nth = F.row_number().over(W.Window.partitionBy("query").orderBy(F.desc("similarity_score"), key))
-    return near.withColumn("rank", nth).where(F.col("rank") <= k)
+    # the least keys of each vector; rows that share one are counted, at most k of them
+    place = F.dense_rank().over(W.Window.partitionBy("z").orderBy("key"))
+    least = scaled.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("z", "key").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    vectors = least.groupBy("z").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("own"))  # k + 1 of a vector
+    different = asked.groupBy("z").agg(F.min("key").alias("key"))
+    first = vectors.select(F.col("own")[0]["key"].alias("key"), "z")
+    pairs = _blocks(first.repartition(tasks), "key", ROW_BLOCK, ("k", "z")).crossJoin(_blocks(different.repartition(tasks), "key", QUERY_BLOCK, ("asked", "q")))
+    near = pairs.mapInArrow(_nearest(k + 1), f"q array<double>, z array<double>, key {kind}, score double")
+    nth = F.row_number().over(W.Window.partitionBy("q").orderBy(F.desc("score"), "key"))
+    near = near.withColumn("place", nth).where(F.col("place") <= k + 1).select("q", "z", "score").join(vectors, "z").select("q", "score", F.inline("own"))
+    near = near.withColumn("place", nth).where(F.col("place") <= k + 1)
+    found = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "key", "n"))).alias("found"))
+    others = F.filter("found", lambda e: e["key"] != F.col("query"))  # a query isn't its own neighbour
+    best = F.slice(F.flatten(F.transform(others, lambda e: F.array_repeat(e, e["n"]))), 1, k)
+    each = asked.distinct().withColumnRenamed("key", "query").join(found, F.col("z") == F.col("q")).select("query", F.explode(best).alias("e"))
+    out = each.select("query", F.col("e.key").alias(key), (-F.col("e.s")).alias("similarity_score"))
+    return out.withColumn("rank", F.row_number().over(W.Window.partitionBy("query").orderBy(F.desc("similarity_score"), key))).where(F.col("rank") <= k)
 
 
 def underpriced(rows: DataFrame, actual: str = "eur", predicted: str = "predicted_eur", factor: float = 1.3) -> DataFrame:

@@ -258,6 +258,26 @@ def test_similar_is_brute_force(spark, monkeypatch):
     assert {r["query"]: r["count"] for r in asked} == {i: 10 for i in ids if i % 20 == 0}
 
 
+def test_similar_compares_different_vectors_only(spark, monkeypatch):
+    """Twelve vectors in 3,000 rows, a key that rows share, a vector that the query alone has, and null keys."""
+    import numpy as np
+
+    blocks, compared = ml._blocks, []
+    monkeypatch.setattr(ml, "_blocks", lambda rows, *rest: compared.append(rows.count()) or blocks(rows, *rest))
+    rows = [(i, float(i % 4), float(i % 3)) for i in range(3000)] + [(5000, 9.0, -1.0), (None, 1.0, 1.0), *[(4, 0.0, 1.0)] * 12, *[(40, 0.0, 1.0)] * 2]
+    got: dict = {}
+    for r in ml.similar(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"], spark.createDataFrame([(i,) for i in (0, 4, 17, 2999, 5000, 7777)], "id long")).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r["id"], r["similarity_score"])
+    x = np.array([r[1:] for r in rows])
+    z = (x - x.mean(0)) / x.std(0)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    assert max(compared) <= 13 and set(got) == {0, 4, 17, 2999, 5000}
+    for q, found in got.items():
+        # rows of one vector have one score, so that keys decide
+        near = sorted((-round(float(z[i] @ z[[r[0] for r in rows].index(q)]), 9), r[0]) for i, r in enumerate(rows) if r[0] not in (q, None))
+        assert [(-round(v, 9), i) for _, (i, v) in sorted(found.items())] == near[:10]
+
+
 def test_boosting_stops_by_patience(spark):
     assert ml.best_round([3.0, 2.0, 2.5, 2.0, 1.0, 4.0], 3) == (5, False) and ml.best_round([3.0, 2.0, 2.5, 2.0, 2.1, 1.0], 3) == (2, True)
     rows = spark.createDataFrame([(str(i), float(i % 37), i % 37 * 2.0 + i % 2) for i in range(200)], "uuid string, eur double, y double")
